@@ -150,7 +150,7 @@ def write_archives(df: DataFrame, scratch: Scratch, id_col: str = "page_id", url
             for id_, url, html, size, sha, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
                     fs.create_dir(base, recursive=True)
-                    out = fs.open_output_stream(part)
+                    out = fs.open_output_stream(part, compression=None)
                 kind = "response" if refers is None else "revisit"
                 out.write(member(kind, _urn(id_), url, (html or "").encode("utf-8", "surrogatepass"), base64.b32encode(sha).decode(), size, refers and _urn(refers)))
                 n += 1
@@ -179,7 +179,7 @@ def read_archives(archives: DataFrame, n_tasks: int | None = None) -> DataFrame:
             for path in b.column(0).to_pylist():
                 fs, at = filesystem(path)
                 rows, size = [], 0
-                with fs.open_input_stream(at) as f:
+                with fs.open_input_stream(at, compression=None) as f:
                     for r in records(lambda n, f=f: f.read(n)):
                         head, payload = r.http()
                         rows.append((r.headers["warc-record-id"].strip("<>"), r.headers.get("warc-target-uri"), int(head["content-length"]), r.headers["warc-payload-digest"].removeprefix("sha1:"), r.kind, r.headers["warc-refers-to"].strip("<>") if r.kind == "revisit" else None, payload if r.kind == "response" else None))
