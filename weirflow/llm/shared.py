@@ -60,8 +60,9 @@ def filesystem(uri: str):
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows in an Arrow batch, so that batches of very long texts fit a worker."""
+    """Bound the rows and bytes in an Arrow batch, so that batches of very long texts fit a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def words_of(text: bytes) -> list[bytes]:

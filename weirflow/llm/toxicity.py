@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -174,9 +175,7 @@ def scored(df: DataFrame, model: NoisyOr, text_col: str = "text") -> DataFrame:
     small_batches(df.sparkSession)
 
     @F.pandas_udf("double")
-    def score(texts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in texts:
             yield pd.Series([model.score(t) for t in x], dtype="float64")
 
