@@ -6,18 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weirflow.llm.bpe import op2_bpe
 from weirflow.llm.decontaminate import op3_decontaminate
+from weirflow.llm.extract import op4_extract
 from weirflow.llm.quality import op5_quality
 from weirflow.llm.simhash import op6_simhash
+from weirflow.llm.substrings import op9_substrings
+from weirflow.llm.suffixes import op8_suffixes
+from weirflow.llm.tokenstore import op7_tokenstore
 from weirflow.llm.toxicity import op10_toxicity
 from weirflow.llm.warc import op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_warc": op1_warc,
-    "op3_decontaminate": op3_decontaminate,
-    "op5_quality": op5_quality,
-    "op6_simhash": op6_simhash,
-    "op10_toxicity": op10_toxicity,
+    f.__name__: f for f in (op1_warc, op2_bpe, op3_decontaminate, op4_extract, op5_quality, op6_simhash, op7_tokenstore, op8_suffixes, op9_substrings, op10_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {}
