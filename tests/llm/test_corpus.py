@@ -1,0 +1,307 @@
+"""Each operator against a brute-force version on small tables, and its defined results in odd cases."""
+
+import base64
+import collections
+import hashlib
+import io
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+from weirflow.llm import bpe, decontaminate, extract, quality, simhash, substrings, suffixes, tokenstore, toxicity, warc
+from weirflow.llm.components import components
+from weirflow.llm.queries import QUERIES
+from weirflow.llm.shared import Scratch
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+DOCS = "doc_id long, text string, clash string, ids string, segment int, fp long"
+
+
+def _texts(seed=1):
+    r = random.Random(seed)
+    vocabulary = ["the", "of", "water", "Ærø", "naïve", "run", "x1", "stone.", "hill,", "idea"]
+    word = lambda: r.choice(vocabulary) + r.choice(["", "", "s", "ing", str(r.randrange(300))])
+    passage = " ".join(word() for _ in range(60))
+    out = [None, "", "   \n\t ", "one", "two words", "a" * 700, "ab " * 400]
+    for i in range(30):
+        t = " ".join(word() for _ in range(r.choice([5, 40, 150])))
+        out.append(f"{t} {passage} {word()}\nline\nline" if i % 4 == 0 else t)
+    return [*out, out[8], out[8], out[9] + " end"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "c", "i", 1, 2) for i, t in enumerate(_texts())] + [(None, "no id", None, None, None, None), (8, _texts()[8], "c", "i", 1, 2)]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def _same(df, want):
+    got = collections.Counter(tuple(bytes(v) if isinstance(v, bytearray) else tuple(v) if isinstance(v, list) else v for v in r) for r in df.collect())
+    want = collections.Counter(want)
+    assert got == want, (list((got - want).items())[:3], list((want - got).items())[:3])
+
+
+def test_warc(spark):
+    pages = spark.createDataFrame([(3, "u", "same"), (1, "u\n", "same"), (2, None, None), (4, "u", ""), (None, "u", "same"), (5, "u", "x" * 900_000), (1, "u", "same")], "page_id long, url string, html string").withColumn("id", F.lit("clash"))
+    sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    same, none = sha(b"same"), sha(b"")
+    want = [(1, 4, same, "response", None, b"same")] * 2 + [(3, 4, same, "revisit", 1, None), (None, 4, same, "revisit", 1, None), (2, 0, none, "response", None, b""), (4, 0, none, "revisit", 2, None), (5, 900_000, sha(b"x" * 900_000), "response", None, b"x" * 900_000)]
+    _same(warc.round_trip(pages).drop("url"), want)
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_warc_damage():
+    good = warc.member("response", "urn:page:1", "http://a", b"abc", warc.digest(b"abc"), 3)
+    for piece in (1, 7, 1000):
+        assert [r.http()[1] for r in warc.records(io.BytesIO(good * 2).read, piece)] == [b"abc"] * 2
+    with pytest.raises(warc.DigestError):
+        list(warc.records(io.BytesIO(warc.member("response", "urn:page:1", None, b"abc", warc.digest(b"abd"), 3)).read))
+    with pytest.raises(warc.DigestError):
+        list(warc.records(io.BytesIO(good[:-9]).read))
+
+
+def test_bpe(docs, rows, empty):
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    out = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    _same(out, [(i, tuple(enc.encode_ordinary(t))) for i, t in rows])
+    _same(bpe.decode(out, RANKS).select("doc_id", "decoded"), [(i, t.encode()) for i, t in rows])
+    assert bpe.encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_decontaminate(spark, docs, rows, empty):
+    texts = _texts()
+    items = [("b", " ".join(texts[7].split()[-25:-5]).upper()), ("a", "two, Words"), ("c", None), (None, "!!"), ("d", texts[10]), ("a", "one")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = find(t)
+        n = min(13, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[k : k + n])].add(i or "")
+    want = []
+    for i, t in rows:
+        w, hit, found = find(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if x := windows.get(tuple(w[k : k + n])):
+                    hit.update(range(k, k + n))
+                    found |= x
+        want.append((i, len(w), len(hit), len(found), tuple(sorted(found)), bool(hit) and 20 * len(hit) >= len(w)))
+    for size in (1 << 20, 40):
+        _same(decontaminate.decontaminate(docs, bench, block_bytes=size), want)
+    assert decontaminate.decontaminate(empty, bench).count() == 0
+    assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_proximity(spark, docs):
+    d = spark.createDataFrame([(1, "red green blue"), (2, "red and green blue"), (3, "blue green red")], "doc_id int, text string")
+    index = decontaminate.build_index(d, Scratch(spark, "t"))
+    near = lambda slop: {r["id"] for r in decontaminate.matches(index, [("q", "red green blue")], slop=slop).collect() if r["spans"]}
+    assert near(0) == {1} and near(1) == {1, 2}
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"),
+    ("<html><head><title>t</title></head><body><nav>Menu</nav><header>Top</header><article><h1>Head</h1><p>One,  two&nbsp;three.<p>Fo<b>ur</b><br>five.</p><section class='comments'><p>Nice!</p></section><script>var a='</p>';</script></article><aside>Side</aside><div class=\"ad\">Buy</div><form><p>Mail</p></form><footer>End", "Head One, two three. Four five."),
+    ("<body><div id=side-menu>m</div><div><p>Long text, with marks. And more of it, here.</p><p>Short.</p></div><div class='cookie-notice'>ok</div>", "Long text, with marks. And more of it, here. Short."),
+    ("<p>a < b and c", "a < b and c"), ("<article><p title='x > y'>in</p></article>", "in"),
+])
+def test_extract(page, text):
+    assert extract.main_text(page) == text
+
+
+def test_extract_rows(spark):
+    p = spark.createDataFrame([(1, "u", "<p>a</p>", 3), (1, "u", "<p>a</p>", 3), (None, None, None, None)], "page_id int, url string, html string, text int")
+    _same(extract.extracted(p), [(1, "u", "a")] * 2 + [(None, None, "")])
+
+
+def test_quality(docs, rows, empty):
+    want = []
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        grams = collections.Counter(zip(*(w[k:] for k in range(5)), strict=False))
+        covered = {k + j for k, g in enumerate(zip(*(w[k:] for k in range(5)), strict=False)) if grams[g] > 1 for j in range(5)}
+        want.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w)))
+    out = quality.judged(docs)
+    _same(out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), want)
+    assert out.where("base_failed and kept").count() == 0
+    assert quality.judged(empty).count() == 0
+
+
+def test_quality_em():
+    k = len(quality.RULES)
+    clean, junk = (0,) * k, tuple(-1 if j in (0, 1, 5, 7) else 0 for j in range(k))
+    model = quality.fit([(clean, 900), (junk, 100)])
+    odds = lambda p: model[0] + sum(model[1 + 3 * j + {1: 0, -1: 1, 0: 2}[v]] for j, v in enumerate(p))
+    assert odds(clean) > 0 > odds(junk)
+
+
+def _fingerprint(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    if not w:
+        return 0
+    grams = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def _linked(fps):
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in fps:
+        for b in fps:
+            if (a ^ b).bit_count() <= 3:
+                root[find(a)] = find(b)
+    return {f: find(f) for f in fps}
+
+
+def test_simhash(docs, rows, empty):
+    fp = [(i, _fingerprint(t)) for i, t in rows]
+    root = _linked({f for _, f in fp})
+    least = {}
+    for i, f in fp:
+        if i is not None:
+            least[root[f]] = min(least.get(root[f], i), i)
+    _same(simhash.near_duplicates(docs), [(i, f"{f:016x}", least.get(root[f])) for i, f in fp])
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_simhash_links(spark):
+    r = random.Random(3)
+    centre = [r.getrandbits(64) for _ in range(20)]
+    fps = set()
+    for c in centre:
+        for spread in (range(64), range(4), range(21, 30), range(50, 64)):
+            for _ in range(12):
+                x = c
+                for b in r.sample(list(spread), r.randrange(5) if len(spread) > 4 else r.randrange(4)):
+                    x ^= 1 << b
+                fps.add(x)
+    signed = [int(np.uint64(f).view(np.int64)) for f in fps]
+    got = {r["node"]: r["root"] for r in components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")), Scratch(spark, "t")).collect()}
+    groups = collections.defaultdict(set)
+    for f, s in zip(fps, signed, strict=True):
+        groups[got.get(s, s)].add(f)
+    want = collections.defaultdict(set)
+    for f, root in _linked(fps).items():
+        want[root].add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_token_store(spark, docs, rows, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    store = tokenstore.write_store(docs, path, Scratch(spark, "t"))
+    of = tokenstore.tokenizer(path)
+    want, start = [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        ids = [*of.encode(t, add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    _same(tokenstore.read_store(store, digests=True), want)
+    refs = store.recipes.select(F.explode("chunks").alias("c")).select("c.*")
+    assert refs.select("hash").distinct().count() == refs.select("pack", "off").distinct().count()
+    assert store.manifest.agg(F.sum("n_tokens")).first()[0] == start
+    assert tokenstore.read_store(tokenstore.write_store(empty, path, Scratch(spark, "t"))).count() == 0
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 2000])
+def test_suffixes(docs, rows, empty, shard):
+    seen = collections.Counter(d[k : k + 200] for _, t in rows for d in [t.encode()] for k in range(len(d) - 199))
+    want = []
+    for i, t in rows:
+        d = t.encode()
+        gone = bytearray(len(d))
+        for k in range(len(d) - 199):
+            if seen[d[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        want.append((i, len(d), sum(gone), len(re.findall(b"\1+", bytes(gone))), bytes(x for x, g in zip(d, gone, strict=True) if not g)))
+    _same(suffixes.deduplicated(docs, shard=shard), want)
+    assert suffixes.deduplicated(empty).count() == 0
+
+
+def test_suffix_array():
+    r = random.Random(5)
+    for n, letters in ((1, "a"), (300, "a"), (2000, "ab"), (5000, "abcdefgh\0")):
+        data = "".join(r.choice(letters) for _ in range(n)).encode()
+        t = np.frombuffer(data, np.uint8)
+        sa = suffixes.suffix_array(t)
+        if "\0" not in letters:
+            assert sa.tolist() == sorted(range(n), key=lambda i: data[i:])
+            for k, (a, b) in enumerate(zip(sa, sa[1:], strict=False)):
+                x, y = data[a:], data[b:]
+                assert suffixes.common_prefixes(t, sa, 50)[k + 1] == min(50, next((j for j in range(min(len(x), len(y))) if x[j] != y[j]), min(len(x), len(y)))) if k < 20 else True
+
+
+def test_substrings(docs, rows, empty):
+    words = [t.encode().split() for _, t in rows]
+    seen = collections.Counter(tuple(w[k : k + 35]) for w in words for k in range(len(w) - 34))
+    want = []
+    for (i, _), w in zip(rows, words, strict=True):
+        gone = [False] * len(w)
+        for k in range(len(w) - 34):
+            if seen[tuple(w[k : k + 35])] > 1:
+                gone[k : k + 35] = [True] * 35
+        want.append((i, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
+    _same(substrings.deduplicated(docs), want)
+    assert substrings.deduplicated(empty).count() == 0
+
+
+def test_toxicity(spark, empty):
+    r = random.Random(7)
+    plain = [f"w{i}" for i in range(200)]
+    texts, labels = [], []
+    for i in range(600):
+        s = [" ".join(r.choice(plain) for _ in range(8)) for _ in range(r.randrange(1, 9))]
+        bad = i % 5 == 0
+        if bad:
+            s[r.randrange(len(s))] += f" vile{r.randrange(30)}"
+        texts.append(". ".join(s))
+        labels.append(int(bad))
+    model = toxicity.fit(texts[:400], labels[:400])
+    got = [model.score(t) >= toxicity.THRESHOLD for t in texts[400:]]
+    assert sum(g == bool(y) for g, y in zip(got, labels[400:], strict=True)) >= 196
+    assert model.score(None) == model.score("") == model.score(" \n ") == 0
+    df = spark.createDataFrame([(1, "w1 w2. you vile7 one. w3"), (2, None), (None, "w1 " * 50_000)], "doc_id int, text string")
+    assert [(r["doc_id"], r["place"]) for r in toxicity.offending(df, model).collect()] == [(1, 1)]
+    assert toxicity.scored(empty, model).count() == 0
+    assert toxicity.learn(empty, spark.createDataFrame([], "doc_id long, toxic int")).weights == {}
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, sf)
+        assert tuple(left.columns) == corpus_pipeline.COLUMNS, name
+        left = Scratch(spark, "t").stage(left, name)
+    out = corpus_pipeline.run(spark, sf)
+    assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == sorted(r["doc_id"] for r in left.select("doc_id").collect())
+    assert 0 < left.count() < docs.count()
+    assert len(QUERIES) == 10

@@ -37,7 +37,7 @@ MOST_FEATURES = 1500
 #: Bound of the bias, so that many plain sentences never add up to a toxic text.
 MOST_BIAS = -6.0
 THRESHOLD = 0.7
-_ROUNDS = 250
+_ROUNDS = 300
 
 _SENTENCE = re.compile(r"[.!?。！？]+\s+|\n+")
 _EDGE = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>*#$%&|«»„“”‘’-–—_/\\"
@@ -76,10 +76,11 @@ class NoisyOr:
         """The noisy-or over all sentences; 0 for a text without any."""
         low = (text or "").lower()
         starts, plain = self._starts, math.log1p(math.exp(self.bias))
-        telling = {t: w for t in set(low.split()) if t.strip(_EDGE)[:3] in starts and (w := self.weight(t))}
+        words = {t.strip(_EDGE) for t in set(low.split())}
+        telling = {t: w for t in words if t[:3] in starts and (w := self.weight(t))}
         total = 0.0
         for s in _SENTENCE.split(low):
-            z = sum(telling[t] for t in set(s.split()) if t in telling) if telling else 0
+            z = sum(telling.get(t.strip(_EDGE), 0.0) for t in set(s.split())) if telling else 0
             if z:
                 total += max(self.bias + z, 0) + math.log1p(math.exp(-abs(self.bias + z)))
             elif s and not s.isspace():
@@ -142,10 +143,10 @@ def fit(texts: list[str | None], labels: list[int], min_texts: int = MIN_TEXTS,
         grad = np.bincount(feature, g[of_sentence], len(theta))
         seen_g += grad**2
         seen_b += g.sum() ** 2
-        step = 0.7 / np.sqrt(seen_g)
+        step = 1.5 / np.sqrt(seen_g)
         theta -= step * grad
         theta = np.sign(theta) * np.maximum(np.abs(theta) - step * sparsity, 0)
-        bias = min(bias - 0.7 / np.sqrt(seen_b) * g.sum(), MOST_BIAS)
+        bias = min(bias - 1.5 / np.sqrt(seen_b) * g.sum(), MOST_BIAS)
     return NoisyOr(float(bias), {w: float(theta[i]) for w, i in number.items() if theta[i]})
 
 
