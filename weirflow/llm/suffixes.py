@@ -154,24 +154,30 @@ def _sharded(window: int, shard: int):
 
         def solve(goes_on: bool):
             nonlocal merged, of_name
-            names = np.array([h[0] for h in held], np.int64)
-            contents = [h[3] for h in held]
+            names, segment, first = (np.array([h[i] for h in held], np.int64) for i in range(3))
+            # equal contents count once in the suffix array, and all their windows repeat
+            number: dict[bytes, int] = {}
+            which = np.array([number.setdefault(h[3], len(number)) for h in held])
+            contents = list(number)
             lengths = np.array([len(c) for c in contents], np.int64)
             base = np.cumsum(lengths) - lengths
-            starts = repeats_in(contents, window)
-            own = np.searchsorted(base, starts, side="right") - 1
-            segment, first = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.int64)
-            out = [(segment[own], (first[own] + starts - base[own]).astype(np.int32))]
+            starts = np.zeros(int(lengths.sum()), bool)
+            starts[repeats_in(contents, window)] = True
+            for u in np.flatnonzero(np.bincount(which) > 1).tolist():
+                starts[base[u] : base[u] + lengths[u] - window + 1] = True
+            n = lengths[which] - window + 1
+            who = np.repeat(np.arange(len(held)), n)
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            where = base[which][who] + offset
+            pos, told = (first[who] + offset).astype(np.int32), starts[where]
+            out = [(segment[who][told], pos[told])]
             last = int(names[-1])
             for name in dict.fromkeys([int(names[0])] * (int(names[0]) == of_name) + [last] * goes_on):
                 if name != of_name:
                     merged, of_name = _Merged(), name
-                at = np.flatnonzero(names == name)
-                n = lengths[at] - window + 1
-                where = np.repeat(base[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                who = np.repeat(at, n)
-                key = Hashes(np.frombuffer(b"".join(contents), np.uint8).astype(np.uint64) + np.uint64(1)).of(where, where + window)
-                out.append(merged.add(key, segment[who], (first[who] + where - base[who]).astype(np.int32), np.isin(where, starts)))
+                on = np.flatnonzero(names[who] == name)
+                key = Hashes(np.frombuffer(b"".join(contents), np.uint8).astype(np.uint64) + np.uint64(1)).of(where[on], where[on] + window)
+                out.append(merged.add(key, segment[who[on]], pos[on], told[on]))
             if not goes_on:
                 of_name = None
             s, p = (np.concatenate(x) for x in zip(*out, strict=True))
