@@ -228,6 +228,19 @@ def test_token_store(spark, docs, rows, empty):
     assert tokenstore.read_store(tokenstore.write_store(empty, path, Scratch(spark, "t"))).count() == 0
 
 
+def test_encoder():
+    """Words one by one give what the library gives for the whole text: all kinds of white space, numbers, marks, rare letters, an added token."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, r = tokenstore.Encoder(path, "<u2"), random.Random(3)
+    own.WORDS = 500
+    pool = [chr(c) for c in [*range(0x3000), 0xFEFF, 0x105C0, 0x10D40, 0x11F04, 0x1E030, 0x1F600, 0x2EBF0, 0x31350]]
+    texts = ["", "x" * 3000, "a <|endoftext|> b", "m² ½ Ⅷ १२", "\x1c\x1d \x85"]
+    texts += ["".join(r.choice(pool) for _ in range(r.randrange(60))) for _ in range(500)]
+    texts += ["".join(r.choice(" \n\t'stlx1é!\u2003_") for _ in range(30)) for _ in range(500)]
+    for t in texts:
+        assert np.frombuffer(own(t), "<u2").tolist() == tokenstore.tokenizer(path).encode(t, add_special_tokens=False).ids, t
+
+
 @pytest.mark.parametrize("shard", [1 << 20, 2000])
 def test_suffixes(docs, rows, empty, shard):
     seen = collections.Counter(d[k : k + 200] for _, t in rows for d in [t.encode()] for k in range(len(d) - 199))

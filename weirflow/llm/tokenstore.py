@@ -15,7 +15,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
+import re
+import struct
 import uuid
 import zlib
 from collections import OrderedDict
@@ -27,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.repeats import Hashes, mixed
+from weirflow.llm.bpe import compiled
+from weirflow.llm.repeats import mixed
 from weirflow.llm.shared import Scratch, filesystem, small_batches
 
 #: Ids the rolling hash looks at; a boundary is one in so many places; ids in a chunk at most.
@@ -37,13 +41,20 @@ KEPT = 4096
 _REF = "array<struct<hash:binary,n:int,pack:int,off:bigint>>"
 
 
+@functools.cache
+def _mixed_ids() -> np.ndarray:
+    return mixed(np.arange(1 << 16, dtype=np.uint64))
+
+
 def boundaries(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of one document's ids."""
     n = len(ids)
     if n <= ROLL:
         return [n] if n else []
-    start = np.arange(n - ROLL)
-    cut = (np.flatnonzero(Hashes(mixed(ids.astype(np.uint64))).of(start, start + ROLL) % np.uint64(ONE_IN) == 0) + ROLL).tolist()
+    # the rolling hash: the sum of what the last ids are mixed to, carried on from place to place
+    total = np.cumsum(_mixed_ids()[ids] if ids.dtype.itemsize == 2 else mixed(ids.astype(np.uint64)), dtype=np.uint64)
+    rolled = (total[ROLL:] - total[:-ROLL]) * np.uint64(0x9E3779B97F4A7C15)
+    cut = (np.flatnonzero(rolled < np.uint64((1 << 64) // ONE_IN)) + ROLL + 1).tolist()
     out, last = [], 0
     for c in [*cut, n]:
         while c - last > LONGEST:
@@ -76,6 +87,77 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class Encoder:
+    """Ids of whole texts by a file of the tokenizers library, as bytes in a store's width.
+
+    A text is cut into words as the library's byte-level pre-tokenizer does, and the library's model encodes a word
+    that was not met lately once. Python's own ``re`` cuts, or ``regex`` where a character needs its Unicode tables:
+    characters new to the encoder are first tried in all neighbourhoods that the pattern tells apart. A text with one that
+    the library cuts otherwise, or with the string of an added token, is encoded by the library as a whole, and so is
+    every text if the file has another pre-tokenizer or a normalizer.
+    """
+
+    #: Words that are kept; then all are forgotten.
+    WORDS = 1 << 19
+    #: The pre-tokenizer's pattern in the terms of ``re``.
+    NEAR = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+
+    def __init__(self, path: str, dtype: str):
+        import public_tokenizers as tokenizers
+
+        self.of, self.dtype = tokenizer(path), dtype
+        self.tokenize, self.cut = self.of.model.tokenize, self.of.pre_tokenizer
+        parts = json.loads(self.of.to_str())
+        pre = parts["pre_tokenizer"] or {}
+        self.whole = bool(parts["normalizer"]) or (pre.get("type"), pre.get("use_regex"), pre.get("add_prefix_space")) != ("ByteLevel", True, False)
+        self.added = [t["content"] for t in parts["added_tokens"]]
+        self.finders = [re.compile(self.NEAR).findall, compiled(tokenizers.PATTERN).findall]
+        self.words: dict[str, bytes] = {}
+        #: Characters met, and those among them that need the second finder at least, or the library.
+        self.met: set[str] = set()
+        self.needs: list[set[str]] = [set(), set()]
+        self.pack = [struct.Struct(f"<{n}{'H' if dtype == '<u2' else 'I'}").pack for n in range(64)]
+        # the characters in which byte-level words are written: printable bytes are themselves, the others follow from U+0100 on
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.spell = dict.fromkeys(shown) | {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        self.spell = {b: b if c is None else c for b, c in self.spell.items()}
+
+    def _meet(self, c: str) -> None:
+        self.met.add(c)
+        probe = f"a{c}1{c}!{c} {c}{c}  {c}'s{c}\n{c}"
+        theirs = [a for _, (a, _) in self.cut.pre_tokenize_str(probe)]
+        for find, needs in zip(self.finders, self.needs, strict=True):
+            ours = find(probe)
+            if "".join(ours) == probe and theirs == [sum(map(len, ours[:i])) for i in range(len(ours))]:
+                return
+            needs.add(c)
+
+    def _word(self, word: str) -> bytes:
+        ids = [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.spell))]
+        return self.pack[len(ids)](*ids) if len(ids) < len(self.pack) else np.array(ids, self.dtype).tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        chars = set(text)
+        if not chars <= self.met:
+            for c in chars - self.met:
+                self._meet(c)
+        if self.whole or not chars.isdisjoint(self.needs[1]) or any(t in text for t in self.added):
+            return np.array(self.of.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        found = self.finders[not chars.isdisjoint(self.needs[0])](text)
+        words = self.words
+        try:
+            return b"".join(map(words.__getitem__, found))
+        except KeyError:
+            pass
+        new = set(found).difference(words)
+        if len(words) + len(new) > self.WORDS:
+            words.clear()
+            new = set(found)
+        for w in new:
+            words[w] = self._word(w)
+        return b"".join(map(words.__getitem__, found))
+
+
 def _write(folder: str, name: str):
     """A stream into a file that appears under its name when it is closed by the returned function."""
     fs, base = filesystem(folder)
@@ -113,30 +195,32 @@ def write_store(df: DataFrame, tokenizer_path: str, scratch: Scratch, id_col: st
     small_batches(df.sparkSession, 128)
     kind = dict(df.dtypes)[id_col]
     dtype = "<u2" if tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
+    width = np.dtype(dtype).itemsize
     loose, packs = scratch.folder("loose"), scratch.folder("packs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        of = tokenizer(tokenizer_path)
+        of, end = Encoder(tokenizer_path, dtype), np.array([end_id], dtype).tobytes()
         part, place, off, out, close = TaskContext.get().partitionId(), 0, 0, None, None
         written: dict[bytes, int] = {}
         for b in batches:
             rows = []
-            for e in of.encode_batch_fast([t or "" for t in b.column(1).to_pylist()], add_special_tokens=False):
+            for text in b.column(1).to_pylist():
                 if out is None:
                     out, close = _write(loose, pack_name(part))
-                ids = np.array([*e.ids, end_id], dtype)
+                coded = of(text or "") + end
+                ids = np.frombuffer(coded, dtype)
                 refs, last = [], 0
-                for end in boundaries(ids):
-                    data = ids[last:end].tobytes()
+                for stop in boundaries(ids):
+                    data = coded[last * width : stop * width]
                     h = address(data)
                     if h not in written:
                         written[h] = off
                         out.write(data)
                         off += len(data)
-                    refs.append({"hash": h, "n": end - last, "pack": part, "off": written[h]})
-                    last = end
+                    refs.append({"hash": h, "n": stop - last, "pack": part, "off": written[h]})
+                    last = stop
                 rows.append((part, place, len(ids), refs, merkle([r["hash"] for r in refs])))
                 place += 1
             if rows:
@@ -153,7 +237,7 @@ def write_store(df: DataFrame, tokenizer_path: str, scratch: Scratch, id_col: st
     owner = refs.groupBy("hash").agg(F.min(F.struct("pack", "off", "n")).alias("o"))
     # hash and n go along as one packed binary per pack
     per_pack = owner.groupBy("o.pack").agg(F.array_sort(F.collect_list(F.struct(F.col("o.off").alias("off"), F.col("o.n").alias("n"), F.col("hash").alias("hash")))).alias("own"))
-    index = scratch.stage(per_pack.mapInArrow(_compacted(loose, packs, np.dtype(dtype).itemsize), "hash binary, pack int, off bigint"), "index")
+    index = scratch.stage(per_pack.mapInArrow(_compacted(loose, packs, width), "hash binary, pack int, off bigint"), "index")
     scratch.drop(loose)
     found = refs.select("part", "place", "k", "hash", "n").join(index, "hash")
     chunks = found.groupBy("part", "place").agg(F.array_sort(F.collect_list(F.struct("k", "hash", "n", "pack", "off"))).alias("chunks"))
