@@ -158,6 +158,12 @@ class Encoder:
         return b"".join(map(words.__getitem__, found))
 
 
+@functools.cache
+def _encoder(path: str, dtype: str) -> Encoder:
+    """One for all tasks of a worker, so that they share the words met."""
+    return Encoder(path, dtype)
+
+
 def _write(folder: str, name: str):
     """A stream into a file that appears under its name when it is closed by the returned function."""
     fs, base = filesystem(folder)
@@ -201,7 +207,7 @@ def write_store(df: DataFrame, tokenizer_path: str, scratch: Scratch, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        of, end = Encoder(tokenizer_path, dtype), np.array([end_id], dtype).tobytes()
+        of, end = _encoder(tokenizer_path, dtype), np.array([end_id], dtype).tobytes()
         part, place, off, out, close = TaskContext.get().partitionId(), 0, 0, None, None
         written: dict[bytes, int] = {}
         for b in batches:
