@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm import bpe, decontaminate, extract, quality, simhash, substrings, suffixes, tokenstore, toxicity, warc
 from weirflow.llm.components import components
-from weirflow.llm.queries import QUERIES
+from weirflow.llm.queries import ORACLE_SQL, QUERIES
 from weirflow.llm.shared import Scratch
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -318,3 +318,16 @@ def test_pipeline(spark):
     assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == sorted(r["doc_id"] for r in left.select("doc_id").collect())
     assert 0 < left.count() < docs.count()
     assert len(QUERIES) == 10
+
+
+@pytest.mark.parametrize("name", ORACLE_SQL)
+def test_sql(spark, name):
+    """A query and its SQL give the same rows on whole tables."""
+    import duckdb
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("pages", "documents", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    out = QUERIES[name](spark, folder)
+    columns = sorted(out.columns)
+    _same(out.select(*columns), con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall())
