@@ -186,7 +186,8 @@ def lookup_join(df: DataFrame, key: str, open_lookup: Callable[[], Lookup], sche
             hit = found.notna()
             out = b if how == "left" else b[hit]
             found = found if how == "left" else found[hit]
-            yield out.assign(**{n: [None if v is None else v.get(n) for v in found] for n in names})
+            # of type object: other string types can come out in several chunks, which Arrow does not take in a record
+            yield out.assign(**{n: pd.Series([v.get(n) if hasattr(v, "get") else None for v in found], index=out.index, dtype=object) for n in names})
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInPandas(run, f"{own}, {schema}")
