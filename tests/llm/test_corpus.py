@@ -304,6 +304,19 @@ def test_toxicity(spark, empty):
     assert toxicity.learn(empty, spark.createDataFrame([], "doc_id long, toxic int")).weights == {}
 
 
+def test_toxicity_length():
+    """Plain sentences have no share in the score, however many; one toxic sentence among them still has its own."""
+    r = random.Random(8)
+    plain = [f"w{i}" for i in range(200)]
+    line = lambda: " ".join(r.choice(plain) for _ in range(8))
+    texts = [". ".join([line() for _ in range(4)] + ["you vile one"] * (i % 5 == 0)) for i in range(400)]
+    model = toxicity.fit(texts, [int(i % 5 == 0) for i in range(400)])
+    long = [line() for _ in range(20_000)]
+    assert model.score(". ".join(long)) < 0.01
+    assert model.score(". ".join([*long, "you vile one"])) >= toxicity.THRESHOLD
+    assert toxicity.NoisyOr(-6.0, {"vile": 9.0}).score("a b. " * 20_000) < 0.01
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning.
 
-A text is a bag of sentences. A sentence's probability is a logistic model of its words and their beginnings; a text's is the
-noisy-or of its sentences, ``1 - prod(1 - p)``. Only texts have labels: the noisy-or's gradient shares a text's
+A text is a bag of sentences. A sentence's share in the score is by how much a logistic model of its words and their
+beginnings exceeds that of a plain sentence, without weighted features, and never below 0; a text's probability is the noisy-or of
+its shares and of one leak, however many plain sentences it has. Only texts have labels: the noisy-or's gradient shares a text's
 label out over its sentences, so the fitted model also tells which sentence offends.
 """
 
@@ -34,7 +35,7 @@ SPARSITY = 1.0
 PREFIXES = (3, 4, 5)
 #: Features kept by the screening, at most.
 MOST_FEATURES = 1500
-#: Bound of the bias, so that many plain sentences never add up to a toxic text.
+#: Bound of the bias, and so of a text's leak.
 MOST_BIAS = -6.0
 THRESHOLD = 0.7
 _ROUNDS = 300
@@ -68,23 +69,27 @@ class NoisyOr:
         return sum(self.weights.get(x, 0.0) for x in features(token))
 
     def sentence_scores(self, text: str | None) -> list[tuple[str, float]]:
-        """Every sentence with its probability."""
-        z = ((s, self.bias + sum(map(self.weight, set(s.lower().split())))) for s in sentences(text))
-        return [(s, 1 / (1 + math.exp(-x)) if x > -700 else 0.0) for s, x in z]
+        """Every sentence with its probability; 0 for plain ones."""
+        return [(s, -math.expm1(-self.share(sum(map(self.weight, set(s.lower().split())))))) for s in sentences(text)]
+
+    def share(self, z: float) -> float:
+        """What a sentence with the sum of weights ``z`` adds to the noisy-or: its excess over a plain sentence."""
+        if z <= 0:
+            return 0.0
+        return max(self.bias + z, 0) + math.log1p(math.exp(-abs(self.bias + z))) - math.log1p(math.exp(self.bias))
 
     def score(self, text: str | None) -> float:
-        """The noisy-or over all sentences; 0 for a text without any."""
+        """The noisy-or of the leak and all sentences; 0 for a text without any."""
         low = (text or "").lower()
-        starts, plain = self._starts, math.log1p(math.exp(self.bias))
+        found = sentences(low)
+        if not found:
+            return 0.0
+        starts = self._starts
         words = {t.strip(_EDGE) for t in set(low.split())}
         telling = {t: w for t in words if t[:3] in starts and (w := self.weight(t))}
-        total = 0.0
-        for s in _SENTENCE.split(low):
-            z = sum(telling.get(t.strip(_EDGE), 0.0) for t in set(s.split())) if telling else 0
-            if z:
-                total += max(self.bias + z, 0) + math.log1p(math.exp(-abs(self.bias + z)))
-            elif s and not s.isspace():
-                total += plain
+        total = math.log1p(math.exp(self.bias))
+        for s in found if telling else ():
+            total += self.share(sum(telling.get(t.strip(_EDGE), 0.0) for t in set(s.split())))
         return -math.expm1(-total)
 
 
@@ -135,18 +140,22 @@ def fit(texts: list[str | None], labels: list[int], min_texts: int = MIN_TEXTS,
     y = np.array(y, float)
     theta, bias, seen_g, seen_b = np.zeros(len(number)), -6.0, np.full(len(number), 1.0), 1.0
     for _ in range(rounds):
-        z = bias + np.bincount(of_sentence, theta[feature], len(of_text))
-        total = np.bincount(of_text, np.logaddexp(0, z), len(y))
+        z = np.bincount(of_sentence, theta[feature], len(of_text))
+        plain, on = np.logaddexp(0, bias), z >= 0
+        total = plain + np.bincount(of_text, np.where(on, np.logaddexp(0, bias + z) - plain, 0), len(y))
         # d loss / d total: 1 for clean texts, -q / (1 - q) for toxic ones, q = exp(-total)
-        slope = np.where(y > 0, -1 / np.expm1(np.maximum(total, 1e-4)), 1.0)
-        g = slope[of_text] / (1 + np.exp(-z))
+        slope = np.where(y > 0, -1 / np.expm1(np.clip(total, 1e-4, 700)), 1.0)
+        leak = 1 / (1 + np.exp(-bias))
+        p = 1 / (1 + np.exp(-(bias + z)))
+        g = np.where(on, slope[of_text] * p, 0)
+        g_bias = slope.sum() * leak + np.where(on, slope[of_text] * (p - leak), 0).sum()
         grad = np.bincount(feature, g[of_sentence], len(theta))
         seen_g += grad**2
-        seen_b += g.sum() ** 2
+        seen_b += g_bias**2
         step = 1.5 / np.sqrt(seen_g)
         theta -= step * grad
         theta = np.sign(theta) * np.maximum(np.abs(theta) - step * sparsity, 0)
-        bias = min(bias - 1.5 / np.sqrt(seen_b) * g.sum(), MOST_BIAS)
+        bias = min(bias - 1.5 / np.sqrt(seen_b) * g_bias, MOST_BIAS)
     return NoisyOr(float(bias), {w: float(theta[i]) for w, i in number.items() if theta[i]})
 
 
