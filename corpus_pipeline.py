@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import bpe, decontaminate, simhash, substrings, toxicity
+from weirflow.llm import bpe, decontaminate, similar, substrings, toxicity
 from weirflow.llm.shared import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,12 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the least id stays. A NULL id goes unless its component has no other."""
-    docs = _columns(docs)
-    found = simhash.near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    return _columns(kept.dropDuplicates(["doc_id"]))
+    """Of each component of near-duplicates (5-word shingles, similarity 0.8 or more) the row with the least id and row number stays, one without an id only if there is no other."""
+    found = similar.near_duplicates(_columns(docs))
+    least = found.groupBy("__component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("least"))
+    return _columns(found.join(least.select(F.col("least.__row").alias("__row")), "__row", "left_semi"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

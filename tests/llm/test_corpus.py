@@ -15,7 +15,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from weirflow.llm import bpe, decontaminate, extract, quality, simhash, substrings, suffixes, tokenstore, toxicity, warc
+from weirflow.llm import bpe, decontaminate, extract, quality, similar, simhash, substrings, suffixes, tokenstore, toxicity, warc
 from weirflow.llm.components import components
 from weirflow.llm.queries import ORACLE_SQL, QUERIES
 from weirflow.llm.shared import Scratch
@@ -212,6 +212,54 @@ def test_simhash_links(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def _shingled(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_similar(spark, empty):
+    """Components by all pairs: near copies many bits apart meet, texts that share a passage only do not."""
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(3000)}"
+    passage, texts = [word() for _ in range(40)], [None, "", " \n", "one", "One", "two words", "two  words", "x y z v"]
+    for _ in range(25):
+        base = [word() for _ in range(r.choice([8, 60, 120, 300]))] + passage * r.randrange(2)
+        texts.append(" ".join(base))
+        for _ in range(r.randrange(6)):
+            copy = list(base)
+            for _ in range(r.randrange(1, max(2, len(copy) // 35))):
+                copy[r.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    sets = [_shingled(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                root = [root[j] if x == root[i] else x for x in root]
+    apart = [(_fingerprint(x) ^ _fingerprint(y)).bit_count() for x, s, a in zip(texts, sets, root, strict=True) for y, t, b in zip(texts, sets, root, strict=True) if a == b and s and 5 * len(s & t) >= 4 * len(s | t)]
+    assert max(apart) > 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = similar.near_duplicates(df).collect()
+    groups = lambda pairs: sorted(sorted(i for i, c in pairs if c == k) for k in {c for _, c in pairs})
+    assert groups([(x["doc_id"], x["__component"]) for x in out]) == groups(list(enumerate(root)))
+    assert len({x["__row"] for x in out}) == len(texts)
+    assert similar.near_duplicates(empty.select("doc_id", "text")).count() == 0
+
+
+def test_near_duplicate_stage(spark):
+    """A copy with scattered changes goes; a text that shares half of its words stays."""
+    import corpus_pipeline
+
+    r = random.Random(2)
+    base = [f"w{r.randrange(5000)}" for _ in range(300)]
+    copy = [f"new{k}" if k in (50, 100, 150, 200) else w for k, w in enumerate(base)]
+    half = base[:150] + [f"v{r.randrange(5000)}" for _ in range(150)]
+    rows = [(k, " ".join(t), "en", "s", 1) for k, t in enumerate([base, copy, half])]
+    assert (_fingerprint(rows[0][1]) ^ _fingerprint(rows[1][1])).bit_count() > 3
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(x["doc_id"] for x in out.collect()) == [0, 2]
+
+
 def test_token_store(spark, docs, rows, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     store = tokenstore.write_store(docs, path, Scratch(spark, "t"))
