@@ -16,6 +16,11 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of documents and ``__row``, a number of its own for each row, staged so that it stays the row's; ids may be NULL or repeat."""
+    return Scratch(spark, "rows").stage(_columns(docs).withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the threshold stay; the model is fitted on labelled ones of ``docs``."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -31,19 +36,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat go. A document that loses words has the rest joined by one space; one that loses all goes."""
-    docs = _columns(docs)
-    found = substrings.deduplicated(docs).select(F.col("doc_id").alias("__id"), "n_words", "n_removed", "kept")
+    docs = _numbered(spark, docs)
+    found = substrings.deduplicated(docs, id_col="__row")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"])).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    joined = docs.join(found, "__row").where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     return _columns(joined.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold passages of the benchmark go."""
-    docs = _columns(docs)
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").select("doc_id").distinct()
-    return _columns(docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti"))
+    docs = _numbered(spark, docs)
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row")
+    return _columns(docs.join(found.where("contaminated").select("__row"), "__row", "left_anti"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -381,6 +381,31 @@ def test_pipeline(spark):
     assert len(QUERIES) == 10
 
 
+def test_pipeline_ids(spark, tmp_path):
+    """Rows without an id, and texts that share one, are each judged on their own and stay what they are."""
+    import corpus_pipeline
+
+    r = random.Random(4)
+    words = lambda n: [f"w{r.randrange(100_000)}" for _ in range(n)]
+    item, passage = words(30), words(40)
+    spark.createDataFrame([("q", " ".join(item))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [(i, " ".join(words(120))) for i in (None, None, None, 7, 7, 8)]
+    bad = [(None, " ".join(words(50) + item)), (7, " ".join(words(50) + item))]
+    shared = [(i, words(200)) for i in (None, 7)]
+    copies = [(None, "a copy of some six words"), (9, "a copy of some six words"), (9, "a copy of some six words")]
+    rows = [*clean, *bad, *((i, " ".join(w + passage)) for i, w in shared), *copies]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    one = copies[1:2]
+    want = [*rows[:-3], *one]
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_repeated_passages, corpus_pipeline.drop_contaminated):
+        docs = Scratch(spark, "t").stage(stage(spark, docs, str(tmp_path)), "ids")
+        if stage is corpus_pipeline.drop_repeated_passages:
+            want = [*clean, *bad, *((i, " ".join(w)) for i, w in shared), *one]
+        elif stage is corpus_pipeline.drop_contaminated:
+            want = [*clean, *((i, " ".join(w)) for i, w in shared), *one]
+        _same(docs.select("doc_id", "text"), want)
+
+
 @pytest.mark.parametrize("name", ORACLE_SQL)
 def test_sql(spark, name):
     """A query and its SQL give the same rows on whole tables."""
