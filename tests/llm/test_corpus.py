@@ -128,6 +128,17 @@ def test_extract(page, text):
     assert extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<body class='no-sidebar'><div><p>Long text, with marks. And more.</p></div></body>", "Long text, with marks. And more."),
+    ("<body><div class='content has-sidebar'><p>Long text, with marks.</p><p>And more.</p></div><div class='sidebar'><p>Links</p></div>", "Long text, with marks. And more."),
+    ("<article><p>One text, with marks.</p><h2 id='related-work'>Related work</h2><p>Another text.</p><p class='ad'>Buy</p></article>", "One text, with marks. Related work Another text."),
+    ("<article><p>One text, with marks.</p><p id='notice-1'>A notice, in the text.</p><div class='related'><p>More</p></div></article>", "One text, with marks. A notice, in the text."),
+])
+def test_extract_marks(page, text):
+    """Marks bar neither a page's frame nor its headings, main container and text, but what is little beside these."""
+    assert extract.main_text(page) == text
+
+
 def test_extract_rows(spark):
     p = spark.createDataFrame([(1, "u", "<p>a</p>", 3), (1, "u", "<p>a</p>", 3), (None, None, None, None)], "page_id int, url string, html string, text int")
     _same(extract.extracted(p), [(1, "u", "a")] * 2 + [(None, None, "")])

@@ -2,7 +2,9 @@
 
 Every text node has a path of block tags from the root. Text length and punctuation are summed up per path; their
 ratios to the number of nodes are smoothed over the nodes in page order, fused, and a threshold selects content
-paths. Marked-up boilerplate (navigation, forms, scripts, adverts, reader comments, ...) takes no part. What
+paths. Boilerplate by its element (navigation, forms, scripts, ...) takes no part; an element whose class, id or role has a word
+of boilerplate (adverts, reader comments, ...) does not either, unless it is the page's frame, a heading, holds most of the
+page's text, or is a block of text whose own ratio is that of content. What
 stands in the container of the content paths is the main text, headings and short paragraphs included.
 """
 
@@ -35,6 +37,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MARKED = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus dropdown footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion recommended related share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets navigation complementary contentinfo replies respond".split()
 )
+#: Elements that marks never bar (fixed values).
+FRAME = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+#: Blocks of text, that marks bar only if their own ratio is low (fixed values).
+TEXT = frozenset("p blockquote pre".split())
 #: What an open element of this kind is closed by (fixed values).
 _CLOSES = {"p": {"p", "div", "ul", "ol", "table", "section", "article", "aside", "header", "footer", "nav", "form", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dl", "main", "figure", "hr", "address"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _PUNCTUATION = re.compile(r"[.,;:!?。，、！？]")
@@ -48,11 +54,15 @@ class Node:
 
     path: tuple[str, ...]
     text: str
+    #: Numbers and tags of the marked elements that it is in.
+    marks: tuple[tuple[int, str], ...] = ()
 
 
-def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in OUT or tag == "header" and not inside_article:
-        return True
+def _ratio(length: float, marks: float) -> float:
+    return length * (1 + math.log1p(marks))
+
+
+def _marked(attributes: str) -> bool:
     for m in _NAMED.finditer(attributes) if attributes else ():
         for word in re.split(r"[\s_\-]+", (m[1] or m[2] or m[3] or "").lower()):
             if word in MARKED:
@@ -61,18 +71,18 @@ def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
 
 
 def nodes(page: str) -> list[Node]:
-    """The blocks of a page that are not marked as boilerplate, in order, references decoded, white space single."""
-    stack: list[tuple[str, bool]] = []
+    """The blocks of a page that are not boilerplate, in order, references decoded, white space single."""
+    stack: list[tuple[str, bool, tuple[tuple[int, str], ...]]] = []
     out: list[Node] = []
     parts: list[str] = []
-    barred = 0
+    barred = number = 0
     at, n = 0, len(page)
 
     def flush():
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append(Node(tuple(t for t, _ in stack), text))
+            out.append(Node(tuple(t for t, _, _ in stack), text, stack[-1][2] if stack else ()))
 
     while at < n:
         m = _TAG.search(page, at)
@@ -100,19 +110,44 @@ def nodes(page: str) -> list[Node]:
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    barred -= sum(b for _, b in stack[k:])
+                    barred -= sum(b for _, b, _ in stack[k:])
                     del stack[k:]
                     break
             continue
         while stack and tag in _CLOSES.get(stack[-1][0], ()):
             barred -= stack.pop()[1]
-        bad = _boilerplate(tag, attributes, any(t in ("article", "main") for t, _ in stack))
+        bad = tag in OUT or tag == "header" and not any(t in ("article", "main") for t, _, _ in stack)
         if not attributes.rstrip().endswith("/"):
-            stack.append((tag, bad))
+            marks = stack[-1][2] if stack else ()
+            if tag not in FRAME and _marked(attributes):
+                number += 1
+                marks = (*marks, (number, tag))
+            stack.append((tag, bad, marks))
             barred += bad
     if not barred:
         flush()
-    return out
+    return _unmarked(out)
+
+
+def _unmarked(found: list[Node]) -> list[Node]:
+    """The blocks in no marked element, or in such only as hold most of the page's text or are text by their own ratio."""
+    if not any(x.marks for x in found):
+        return found
+    size, signs, total = defaultdict(int), defaultdict(int), sum(len(x.text) for x in found)
+    for x in found:
+        for m in x.marks:
+            size[m] += len(x.text)
+            signs[m] += len(_PUNCTUATION.findall(x.text))
+    large = {m for m in size if 2 * size[m] > total}
+    free = [x for x in found if large.issuperset(x.marks)]
+    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
+    for x in free:
+        length[x.path] += len(x.text)
+        marks[x.path] += len(_PUNCTUATION.findall(x.text))
+        count[x.path] += 1
+    best = max((_ratio(length[p] / count[p], marks[p] / count[p]) for p in count), default=0)
+    kept = large | {m for m in size if m[1] in TEXT and _ratio(size[m], signs[m]) >= SHARE * best}
+    return [x for x in found if kept.issuperset(x.marks)]
 
 
 def main_text(page: str | None) -> str:
@@ -125,7 +160,7 @@ def main_text(page: str | None) -> str:
         length[x.path] += len(x.text)
         marks[x.path] += len(_PUNCTUATION.findall(x.text))
         count[x.path] += 1
-    ratio = {p: length[p] / count[p] * (1 + math.log1p(marks[p] / count[p])) for p in count}
+    ratio = {p: _ratio(length[p] / count[p], marks[p] / count[p]) for p in count}
     raw = [ratio[x.path] for x in found]
     total = [0.0]
     for r in raw:
