@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import dataclasses
 import hashlib
 import io
 import random
@@ -15,7 +16,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from weirflow.llm import bpe, decontaminate, extract, quality, similar, simhash, substrings, suffixes, tokenstore, toxicity, warc
+from weirflow.llm import bpe, cutting, decontaminate, extract, quality, similar, simhash, substrings, suffixes, tokenstore, toxicity, warc
 from weirflow.llm.components import components
 from weirflow.llm.queries import ORACLE_SQL, QUERIES
 from weirflow.llm.shared import Scratch
@@ -77,12 +78,41 @@ def test_warc_damage():
         list(warc.records(io.BytesIO(good[:-9]).read))
 
 
-def test_bpe(docs, rows, empty):
+def test_bpe(spark, docs, rows, empty):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
-    out = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
-    _same(out, [(i, tuple(enc.encode_ordinary(t))) for i, t in rows])
+    # the second size cuts a chunk at every text or two
+    for chunk in (bpe.CHUNK, 600):
+        out = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, chunk=chunk)
+        _same(out, [(i, tuple(enc.encode_ordinary(t))) for i, t in rows])
     _same(bpe.decode(out, RANKS).select("doc_id", "decoded"), [(i, t.encode()) for i, t in rows])
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    _same(bpe.encode_digests(docs, RANKS, public_tokenizers.PATTERN, chunk=3000), [(i, len(x := enc.encode_ordinary(t)), sha(" ".join(map(str, x)).encode()), sha(t.encode())) for i, t in rows])
     assert bpe.encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+    assert bpe.encode_digests(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, [-1]), (3, [60_000]), (4, [])], "doc_id long, ids array<int>")
+    _same(bpe.decode(odd, RANKS).select("doc_id", "decoded"), [(1, None), (2, None), (3, None), (4, b"")])
+
+
+def test_bpe_words(spark):
+    """Long words, runs, and every kind of character, by both rank files and another pattern."""
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcdefghij") for _ in range(3000)), "a" * 5001, "ab" * 2500, "-=" * 800 + "漢" * 700, " " * 1000 + "x", "".join(map(chr, range(1, 0xD800))), "\U00018f08\u851b", "\U0001915b's", "\0a\0"]
+    texts += ["".join(r.choice("thequickbrown -='\n漢é") for _ in range(200)) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name, pattern in (("byte_bpe_50k.tiktoken", public_tokenizers.PATTERN), ("byte_bpe_multi_50k.tiktoken", r"\p{N}{1,3}|[^\p{N}\s]+|\s+")):
+        path = public_tokenizers.path(name)
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+        _same(bpe.encode(df, path, pattern), [(i, tuple(enc.encode_ordinary(t))) for i, t in enumerate(texts)])
+
+
+def test_ranks(tmp_path):
+    """Ranks by which a token's bytes do not merge to it are refused."""
+    line = lambda b, i: base64.b64encode(b) + b" %d" % i
+    bytes_ = [line(bytes([b]), b) for b in range(256)]
+    for more in ([line(b"abc", 256)], [line(b"abc", 256), line(b"ab", 257)]):
+        (tmp_path / str(len(more))).write_bytes(b"\n".join(bytes_ + more))
+        with pytest.raises(bpe.RankError):
+            bpe.load_ranks(str(tmp_path / str(len(more))))
 
 
 def test_decontaminate(spark, docs, rows, empty):
@@ -291,13 +321,81 @@ def test_encoder():
     """Words one by one give what the library gives for the whole text: all kinds of white space, numbers, marks, rare letters, an added token."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     own, r = tokenstore.Encoder(path, "<u2"), random.Random(3)
-    own.WORDS = 500
-    pool = [chr(c) for c in [*range(0x3000), 0xFEFF, 0x105C0, 0x10D40, 0x11F04, 0x1E030, 0x1F600, 0x2EBF0, 0x31350]]
-    texts = ["", "x" * 3000, "a <|endoftext|> b", "m² ½ Ⅷ १२", "\x1c\x1d \x85"]
+    own.BYTES = 100_000
+    pool = [chr(c) for c in [*range(0x3000), 0xFEFF, 0x105C0, 0x10D40, 0x11F04, 0x18F08, 0x1915B, 0x1E030, 0x1F600, 0x2EBF0, 0x31350]]
+    texts = ["", "x" * 3000, "a <|endoftext|> b", "m² ½ Ⅷ १२", "\x1c\x1d \x85", "", "\xbd\U00018f08\u851b", "\U0001915b's"]
     texts += ["".join(r.choice(pool) for _ in range(r.randrange(60))) for _ in range(500)]
-    texts += ["".join(r.choice(" \n\t'stlx1é!\u2003_") for _ in range(30)) for _ in range(500)]
-    for t in texts:
-        assert np.frombuffer(own(t), "<u2").tolist() == tokenstore.tokenizer(path).encode(t, add_special_tokens=False).ids, t
+    texts += ["".join(r.choice(" \n\t'stlx1é!\u2003_\0") for _ in range(30)) for _ in range(500)]
+    want = [tokenstore.tokenizer(path).encode(t, add_special_tokens=False).ids for t in texts]
+    ids, ends = own(texts)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+    ids, ends = own(texts, 7)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*x, 7] for x in want]
+    assert [x.tolist() for x in own([])] == [[], []]
+
+
+def test_cutting():
+    """Every code point, in contexts that the pattern tells apart, and random strings are cut as both libraries cut them; any other pattern by ``regex``."""
+    from tokenizers import pre_tokenizers
+
+    bytes_only = {bytes([b]): b for b in range(256)}
+    theirs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    r, chars = random.Random(9), cutting.all_characters()
+    texts = [f"a{c}1{c}!{c} {c}  {c}'s{c}\n{c}" for c in r.sample(chars, 30_000)]
+    texts += ["".join(r.choice("  ''strevlmda1²!,\n\t\xa0\x85é漢\U00018f08蔛\U0001915b\0S") for _ in range(r.randrange(14))) for _ in range(30_000)]
+    table = cutting.table_of(cutting.tokenizers_classes())
+    assert np.array_equal(table, cutting.table_of(cutting.tiktoken_classes()))
+    for kind, pattern in ((cutting.LETTER, r"\p{L}"), (cutting.NUMBER, r"\p{N}"), (cutting.SPACE, r"\s")):
+        of = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=bytes_only, special_tokens={})
+        assert set(bytes(of.encode_ordinary(chars)).decode()) == {c for c in chars if table[ord(c)] == kind}
+    find = bpe.finder(public_tokenizers.PATTERN, cutting.tiktoken_classes())
+    words, codes, counts = cutting.cut(texts, table)
+    by, codes_by, counts_by = cutting.cut_by(texts, find)
+    words, by, ends = words.to_pylist(), by.to_pylist(), np.cumsum(counts)
+    assert np.array_equal(counts, counts_by)
+    for t, lo, hi in zip(texts, ends - counts, ends, strict=True):
+        own = [words[c] for c in codes[lo:hi]]
+        assert own == [by[c] for c in codes_by[lo:hi]]
+        assert np.cumsum([0, *map(len, own)])[:-1].tolist() == [a for _, (a, _) in theirs.pre_tokenize_str(t)], t
+
+
+def test_store_damage(spark, docs, tmp_path):
+    """A changed chunk, recipe, and a lost document are all seen."""
+    import glob
+
+    from pyspark.errors import PythonException
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    scratch = Scratch(spark, "damage")
+    store = tokenstore.write_store(docs, path, scratch)
+    lost = dataclasses.replace(store, recipes=scratch.stage(store.recipes.where("start > 0"), "lost"))
+    with pytest.raises(tokenstore.IntegrityError):
+        tokenstore.read_store(lost)
+    longer = dataclasses.replace(store, recipes=scratch.stage(store.recipes.withColumn("n_tokens", F.expr("n_tokens + if(start = 0, 1, 0)")), "longer"))
+    with pytest.raises(tokenstore.IntegrityError):
+        tokenstore.read_store(longer)
+    swapped = dataclasses.replace(store, recipes=scratch.stage(store.recipes.withColumn("chunks", F.reverse("chunks")), "swapped"))
+    with pytest.raises(PythonException, match="IntegrityError"):
+        tokenstore.read_store(swapped, digests=True).collect()
+    for f in glob.glob(store.packs.removeprefix("file://") + "/pack-*"):
+        data = bytearray(open(f, "rb").read())
+        data[len(data) // 2] ^= 1
+        open(f, "wb").write(data)
+    with pytest.raises(PythonException, match="IntegrityError"):
+        tokenstore.read_store(store, digests=True).collect()
+
+
+def test_boundaries():
+    """Documents are cut alike wherever they lie; no chunk is empty, too long or in two documents."""
+    r = np.random.default_rng(2)
+    docs_ = [r.integers(0, 50_000, n).astype("<u2") for n in (1, 0, 5, 17, 3000, 20_000, 2)] + [np.zeros(10_000, "<u2")]
+    ends = np.cumsum([len(x) for x in docs_])
+    together, want = tokenstore.boundaries(np.concatenate(docs_), ends), []
+    for x, end in zip(docs_, ends, strict=True):
+        own = tokenstore.boundaries(x)
+        assert not len(x) or (own[-1] == len(x) and (np.diff(own, prepend=0) > 0).all() and (np.diff(own, prepend=0) <= tokenstore.LONGEST).all())
+        want += (own + end - len(x)).tolist()
+    assert together.tolist() == want
 
 
 @pytest.mark.parametrize("shard", [1 << 20, 2000])

@@ -1,219 +1,313 @@
-"""Byte-level BPE by higher-order functions over distinct words.
+"""Byte-level BPE by higher-order functions over the distinct words of a corpus.
 
-A task cuts some MB of texts into the words of the tokenizer's pattern and keeps each distinct word once, with
-the order of the words as numbers (a chunk, one row). Spark's higher-order functions then fold ranked merges over
-the bytes of these words: each step finds the least rank among all neighbouring pieces and joins that
-pair where it occurs, from the left, until no pair has a rank. The ranks are a literal in the plan: an array
-of small maps, by hash. Chunks need no shuffle, so a frequent word or a hot source is no hot key.
+Tasks cut texts into the words of the tokenizer's pattern, in chunks of some MB, and give each chunk's distinct words as
+rows and the order of all its words as numbers. The words are shuffled by themselves, and each distinct word of
+the whole corpus is folded once, as bytes: every stretch of it that a token spells is a merge that may come, and a fold over these,
+in the order of their ranks and places, joins a stretch if it is two pieces then. The ranks are a literal in the plan, by hash.
+Ids go back to the chunks, where each text's ids are put together.
+
+The fold is the ranked merging of pairs, given that every token of a rank file is what merging its own bytes gives with no rank above
+its own (``load_ranks`` asserts this): then a merge never makes a pair of lower rank, so merges come in the order of ranks, and a pair of
+pieces that spell a token is met when that token's turn comes.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.shared import small_batches
+from weirflow.llm import cutting
+from weirflow.llm.shared import Scratch, filesystem, small_batches
+
+#: Characters of text in a chunk (a longer text is a chunk of its own).
+CHUNK = 16 << 20
+#: Buckets of the rank literal.
+BUCKETS = 1 << 17
+#: Words that are put together at a time.
+WORDS = 1 << 18
+
 
-#: Bytes of text in a chunk (a longer text is a chunk of its own).
-CHUNK_BYTES = 32 << 20
-#: Maps of the rank literal.
-BUCKETS = 1 << 12
-#: Unicode's White_Space characters, which ``\\s`` of the patterns means.
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Marks before and after each piece of a word while it is folded. Bytes are written as characters from U+0100 on.
-OPEN, SHUT = "<", ">"
-#: Words of up to so many bytes are folded a pair at a time, longer ones all equal pairs at a time.
-SHORT = 200
-#: Stands for the rank of a pair that has none.
-FAR = 2147483647
-_AWAY = 0x100
+class RankError(ValueError):
+    """A rank file whose tokens are not what their own bytes merge to."""
+
+
+def merged(data: bytes, ranks: dict[bytes, int], most: int) -> list[bytes]:
+    """The pieces of ``data`` when pairs are merged by least rank, none above ``most``."""
+    pieces = [data[i : i + 1] for i in range(len(data))]
+    while len(pieces) > 1:
+        rank, i = min((ranks.get(pieces[i] + pieces[i + 1], most + 1), i) for i in range(len(pieces) - 1))
+        if rank > most:
+            break
+        pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+    return pieces
 
 
 @functools.cache
 def load_ranks(path: str) -> dict[bytes, int]:
-    """Ranks of a tiktoken file: lines of base64 bytes and rank."""
+    """Ranks of a tiktoken file: lines of base64 bytes and rank. All single bytes must be there, and every token must be what its bytes merge to."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if any(bytes([b]) not in ranks for b in range(256)):
+        raise RankError("a byte has no rank")
+    for token, rank in ranks.items():
+        if len(token) > 1 and len(merged(token, ranks, rank)) > 1:
+            raise RankError(f"the bytes of token {rank} do not merge to it")
+    return ranks
 
 
-def spelled(data: bytes) -> str:
-    """Bytes as characters, one each, none of them a mark."""
-    return data.decode("latin-1").translate(_SPELL)
+def _literal(ranks: dict[bytes, int]) -> Column:
+    """The ranks as buckets of ``(b, r)`` by the hash of b."""
+    buckets: list[list[dict]] = [[] for _ in range(BUCKETS)]
+    for b, r in ranks.items():
+        buckets[xxhash.xxh64_intdigest(b, 42) & (BUCKETS - 1)].append({"b": base64.b64encode(b).decode(), "r": r})
+    return F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<b:binary,r:int>>>")
 
 
-_SPELL = {i: i + _AWAY for i in range(256)}
+def _spellings(rank_file: str) -> Column:
+    """The bytes of every id."""
+    return F.from_json(F.lit(json.dumps([base64.b64encode(x).decode() for x in pieces_of(rank_file)])), "array<binary>")
 
 
-@functools.cache
-def compiled(pattern: str):
-    """The pattern for the ``regex`` module, with ``\\s`` as Unicode's White_Space."""
-    import regex
+def _found(piece: str, value: str) -> str:
+    """An array of ``value`` (of e, an entry of the literal), empty if the piece is no token."""
+    return f"transform(filter(ranks[cast(xxhash64({piece}) & {BUCKETS - 1} as int)], e -> e.b = {piece}), e -> {value})"
 
-    out, inside = [], False
-    i = 0
-    while i < len(pattern):
-        c = pattern[i : i + 2]
-        if c in (r"\s", r"\S"):
-            out.append(WHITE if inside and c == r"\s" else f"[{WHITE}]" if c == r"\s" else f"[^{WHITE}]")
-            i += 2
-        elif c[0] == "\\":
-            out.append(c)
-            i += 2
-        else:
-            inside = True if c[0] == "[" else False if c[0] == "]" else inside
-            out.append(c[0])
-            i += 1
-    return regex.compile("".join(out))
 
+def fold_sql(longest: int) -> str:
+    """SQL of the ids of one word ``w`` (binary, not empty) by the literal ``ranks``, whose longest token has ``longest`` bytes.
 
-def _rank_sql(piece: str) -> str:
-    return f"element_at(ranks[cast(xxhash64({piece}) & {BUCKETS - 1} as int)], {piece})"
+    A merge that may come is one long: rank, place and length. The state has a byte 1 where a piece begins, and
+    one at the end, else 0.
+    """
+    merges = f"transform(sequence(2, least({longest}, length(w) - i)), l -> {_found('substring(w, i + 1, l)', 'shiftleft(cast(e.r as bigint), 40) | shiftleft(cast(i as bigint), 8) | l')})"
+    ordered = f"if(length(w) < 2, cast(array() as array<bigint>), sort_array(flatten(transform(sequence(0, length(w) - 2), i -> flatten({merges})))))"
+    at, size = "cast(shiftright(c, 8) & 4294967295 as int)", "cast(c & 255 as int)"
+    one = "X'31'"
+    two = f"substring(s, {at} + 1, 1) = {one} and substring(s, {at} + {size} + 1, 1) = {one} and length(replace(cast(substring(s, {at} + 2, {size} - 1) as string), '0', '')) = 1"
+    step = f"if({two}, overlay(s placing cast(repeat('0', {size} - 1) as binary) from {at} + 2), s)"
+    state = f"aggregate({ordered}, cast(repeat('1', length(w) + 1) as binary), (s, c) -> {step})"
+    starts = f"transform(array({state}), s -> filter(sequence(0, length(w) - 1), i -> substring(s, i + 1, 1) = {one}))[0]"
+    piece = "substring(w, i + 1, coalesce(get(a, k + 1), length(w)) - i)"
+    return f"transform(array({starts}), a -> flatten(transform(a, (i, k) -> {_found(piece, 'e.r')})))[0]"
+
+
+def folded(df: DataFrame, word: str, rank_file: str, out: str, when: str = "true") -> DataFrame:
+    """``df`` with the ids of the binary column ``word``, an ``array<int>``, where ``when`` holds; no ids for an empty word."""
+    ranks = load_ranks(rank_file)
+    # the literal stands under one name, so that the plan holds it once
+    bound = df.withColumn("__ranks", F.array(_literal(ranks)))
+    ids = f"transform(__ranks, ranks -> transform(array({word}), w -> {fold_sql(max(map(len, ranks)))})[0])[0]"
+    return bound.withColumn(out, F.expr(f"case when {when} then if(length({word}) = 0, cast(array() as array<int>), {ids}) end")).drop("__ranks")
 
 
-def _literal(ranks: dict[bytes, int]) -> Column:
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for b, r in ranks.items():
-        s = spelled(b)
-        maps[xxhash.xxh64_intdigest(s.encode(), 42) & (BUCKETS - 1)][s] = r
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+def decode(df: DataFrame, rank_file: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """``df`` with the decoded bytes of an id array as binary: their pieces put together. NULL ids give NULL, and so does an array with a NULL or unknown id."""
+    bound = df.withColumn("__pieces", F.array(_spellings(rank_file)))
+    # binary arrays have no join, and a fold would copy what it has at every step: pieces are joined as hexadecimal digits
+    known = f"forall(`{ids_col}`, i -> i >= 0 and i < size(pieces))"
+    return bound.withColumn(out_col, F.expr(f"transform(__pieces, pieces -> if({known}, unhex(array_join(transform(`{ids_col}`, i -> hex(pieces[i])), '')), null))[0]")).drop("__pieces")
 
 
-def fold_sql() -> str:
-    """SQL of the ids of one spelled word ``w`` by the maps ``ranks``."""
-    whole = _rank_sql("w")
-    return f"transform(array({whole}), r -> case when r is not null then array(r) when char_length(w) <= {SHORT} then {_short_fold()} else {_long_fold()} end)[0]"
+def _packed(columns: dict[str, pa.Array]) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_pydict(columns)
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
-def _short_fold() -> str:
-    """The pieces and the ranks of all neighbours are carried along; a step joins the leftmost pair of least rank."""
-    rank = lambda x: f"coalesce({_rank_sql(x)}, {FAR})"
-    none = "cast(array() as array<int>)"
-    left = f"if(b.i > 1, array({rank('concat(a.p[b.i - 2], b.x)')}), {none})"
-    right = f"if(b.i < size(a.r), array({rank('concat(b.x, a.p[b.i + 1])')}), {none})"
-    ranks = f"concat(slice(a.r, 1, greatest(b.i - 2, 0)), {left}, {right}, slice(a.r, b.i + 2, size(a.r)))"
-    pieces = "concat(slice(a.p, 1, b.i - 1), array(b.x), slice(a.p, b.i + 2, size(a.p)))"
-    at = "transform(array(cast(array_position(a.r, array_min(a.r)) as int)), i -> struct(i as i, concat(a.p[i - 1], a.p[i]) as x))"
-    step = f"if(coalesce(array_min(a.r), {FAR}) = {FAR}, a, transform({at}, b -> named_struct('p', {pieces}, 'r', {ranks}))[0])"
-    start = f"transform(array(split(w, '')), p -> named_struct('p', p, 'r', transform(sequence(1, size(p) - 1), i -> {rank('concat(p[i - 1], p[i])')})))[0]"
-    return f"aggregate(sequence(2, char_length(w)), {start}, (a, k) -> {step}, a -> transform(a.p, x -> {_rank_sql('x')}))"
+def _unpacked(data: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(data) as f:
+        return f.read_next_batch()
 
 
-def _long_fold() -> str:
-    """A step joins the pair of least rank wherever it occurs, so that long runs take few steps.
+def cut_words(df: DataFrame, pattern: str, scratch: Scratch, id_col: str, text_col: str, chunk: int) -> DataFrame:
+    """Staged ``(chunk, k, word, payload)``: a row per distinct word of a chunk, and per chunk one with k -1, an empty word and what else the chunk has: ids, words per text, words in order.
 
-    The word is a string of pieces, each between its own marks, so that replacing a pair never touches its
-    neighbours; ``split`` at the closing mark leaves the opening one on each piece.
+    Words are those of ``pattern``, its classes as tiktoken has them.
     """
-    pair = "concat(substring(p[i - 1], 2), substring(p[i], 2))"
-    best = f"array_min(transform(sequence(1, size(p) - 2), i -> struct(coalesce({_rank_sql(pair)}, {FAR}) as r, i as i)))"
-    joined = f"replace(a.s, concat(p[b.i - 1], '{SHUT}', p[b.i], '{SHUT}'), concat(p[b.i - 1], substring(p[b.i], 2), '{SHUT}'))"
-    merged = f"transform(array({best}), b -> named_struct('s', if(b.r = {FAR}, a.s, {joined}), 'on', b.r < {FAR} and size(p) > 3))[0]"
-    start = f"named_struct('s', concat('{OPEN}', array_join(split(w, ''), '{SHUT}{OPEN}'), '{SHUT}'), 'on', true)"
-    ids = f"transform(slice(split(a.s, '{SHUT}'), 1, size(split(a.s, '{SHUT}')) - 1), x -> {_rank_sql('substring(x, 2)')})"
-    return f"aggregate(sequence(2, char_length(w)), {start}, (a, k) -> if(a.on, transform(array(split(a.s, '{SHUT}')), p -> {merged})[0], a), a -> {ids})"
+    small_batches(df.sparkSession)
+    ranges = cutting.tiktoken_classes()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def folded(df: DataFrame, words: str, ranks: dict[bytes, int], out: str) -> DataFrame:
-    """``df`` with the ids of every spelled word of the array column ``words``."""
-    # the literal stands under one name, so that the plan holds it once
-    bound = df.withColumn("__maps", F.array(_literal(ranks)))
-    return bound.withColumn(out, F.expr(f"transform(__maps, ranks -> transform({words}, w -> {fold_sql()}))[0]")).drop("__maps")
-
-
-def _chunks(rows: Iterator[tuple[object, str | None]], find, limit: int) -> Iterator[tuple[list, list[int], list[np.ndarray], dict[str, int]]]:
-    number: dict[str, int] = {}
-    ids, counts, codes, size = [], [], [], 0
-    for id_, text in rows:
-        text = text or ""
-        if ids and size + len(text) > limit:
-            yield ids, counts, codes, number
-            number, ids, counts, codes, size = {}, [], [], [], 0
-        found = find(text)
-        ids.append(id_)
-        counts.append(len(found))
-        codes.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
-        size += len(text)
-    if ids:
-        yield ids, counts, codes, number
-
-
-def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+        number = TaskContext.get().partitionId() << 32
+        ids, texts, size, kind = [], [], 0, None
+
+        def done():
+            if pattern == cutting.PATTERN:
+                words, codes, counts = cutting.cut(texts, cutting.table_of(ranges))
+            else:
+                words, codes, counts = cutting.cut_by(texts, finder(pattern, ranges))
+            payload = _packed({"ids": pa.array([ids], pa.list_(kind)), "counts": pa.array([counts.astype(np.int32)]), "codes": pa.array([codes.astype(np.int32)])})
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), pa.array([b""]), pa.array([payload])], names=["chunk", "k", "word", "payload"])
+            for at in range(0, len(words), 1 << 16):
+                part = words.slice(at, 1 << 16)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part.cast(pa.binary()), pa.nulls(len(part), pa.binary())], names=["chunk", "k", "word", "payload"])
+
+        for b in batches:
+            kind = b.schema.field(0).type
+            for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                text = text or ""
+                if ids and size + len(text) > chunk:
+                    yield from done()
+                    number, ids, texts, size = number + 1, [], [], 0
+                ids.append(id_)
+                texts.append(text)
+                size += len(text)
+        if ids:
+            yield from done()
+
+    source = df.select(f"`{id_col}`", F.col(f"`{text_col}`").cast("string").alias("text"))
+    return scratch.stage(source.mapInArrow(run, "chunk bigint, k int, word binary, payload binary"), "words")
+
+
+def finder(pattern: str, ranges):
+    """A function that lists a text's matches of any pattern, by the ``regex`` module, with letters, numbers and white space as ``ranges`` have them.
+
+    Characters that the module's tables class otherwise are matched as one of the right class that stands for them.
+    """
+    import regex
+
+    table = cutting.table_of(ranges)
+    own = {cutting.LETTER: regex.compile(r"\p{L}"), cutting.NUMBER: regex.compile(r"\p{N}"), cutting.SPACE: regex.compile(r"\s")}
+    stand = {cutting.OTHER: "§", cutting.LETTER: "ƺ", cutting.NUMBER: "²", cutting.SPACE: " "}
+    text = cutting.all_characters()
+    theirs = np.zeros(0x110000, np.uint8)
+    for kind, of in own.items():
+        theirs[[ord(c) for c in of.findall(text)]] = kind
+    swap = {int(c): stand[int(table[c])] for c in np.flatnonzero(theirs != table) if not 0xD800 <= c < 0xE000}
+    rare, of = {chr(c) for c in swap}, regex.compile(pattern)
+
+    def find(t: str) -> list[str]:
+        if rare.isdisjoint(t):
+            return [m.group() for m in of.finditer(t)]
+        return [t[m.start() : m.end()] for m in of.finditer(t.translate(swap))]
+
+    return find
+
+
+def _coded(df: DataFrame, rank_file: str, pattern: str, scratch: Scratch, id_col: str, text_col: str, chunk: int) -> DataFrame:
+    """``(chunk, k, path, ids, decoded)``: the rows of :func:`cut_words` with the ids of each word and what these decode to; a chunk's payload is in the file ``path``."""
+    words = cut_words(df, pattern, scratch, id_col, text_col, chunk)
+    rows = words.select("chunk", "k", "word", F.when(F.col("k") < 0, F.col("_metadata.file_path")).alias("path"))
+    # a word's rows are next to each other: the first is folded, and what it gives goes on to the others
+    same = Window.partitionBy("word").orderBy("chunk", "k")
+    first = folded(rows.withColumn("nth", F.row_number().over(same)), "word", rank_file, "ids", "nth = 1")
+    first = decode(first, rank_file, "ids", "decoded")
+    on = same.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return first.select("chunk", "k", "path", F.first("ids", ignorenulls=True).over(on).alias("ids"), F.first("decoded", ignorenulls=True).over(on).alias("decoded"))
+
+
+def _payload(path: str, chunk: int) -> pa.RecordBatch:
+    import pyarrow.parquet as pq
+
+    fs, at = filesystem(path)
+    with fs.open_input_file(at) as f:
+        table = pq.read_table(f, columns=["payload"], filters=[("chunk", "=", chunk), ("k", "=", -1)])
+    return _unpacked(table.column(0)[0].as_py())
+
+
+def _texts(batches: Iterator[pa.RecordBatch]):
+    """``(ids, counts, codes, ids of the words, decoded words)`` of each chunk; the rows are sorted by chunk and k."""
+    chunk, payload, ids, words = None, None, [], []
+
+    def done():
+        x = _payload(payload, chunk)
+        empty = pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary())
+        return x.column(0).flatten(), x.column(1)[0].values.to_numpy(), x.column(2)[0].values.to_numpy(), pa.concat_arrays(ids) if ids else empty[0], pa.concat_arrays(words) if words else empty[1]
+
+    for b in batches:
+        of = b.column(0).to_numpy()
+        cuts = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)] if len(of) else np.zeros(1, np.int64)
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if of[lo] != chunk:
+                if chunk is not None:
+                    yield done()
+                chunk, payload, ids, words = int(of[lo]), b.column(2)[lo].as_py(), [], []
+                lo += 1
+            ids.append(b.column(3).slice(lo, hi - lo))
+            words.append(b.column(4).slice(lo, hi - lo))
+    if chunk is not None:
+        yield done()
+
+
+def _groups(counts: np.ndarray, most: int = WORDS) -> Iterator[tuple[int, int, int, int]]:
+    """Texts that together have about ``most`` words: ``(first text, after the last, first word, after the last)``."""
+    ends = np.cumsum(counts, dtype=np.int64)
+    at, word = 0, 0
+    while at < len(counts):
+        last = max(at + 1, int(np.searchsorted(ends, word + most, side="right")))
+        yield at, last, word, int(ends[last - 1])
+        at, word = last, int(ends[last - 1])
+
+
+def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, scratch: Scratch | None = None) -> DataFrame:
     """``(id_col, ids)`` of every row: the token ids of its whole text, an ``array<int>``.
 
-    The ranks must hold all 256 single bytes. NULL and empty texts have no ids; rows that repeat an id are
-    encoded each; an empty table gives an empty result; other columns are ignored. A long run without a
-    break is one word and is folded as such, each step in time proportional to its length.
+    NULL and empty texts have no ids; rows that repeat an id are encoded each; an empty table gives an
+    empty result; other columns are ignored. A long run without a break is one word and is folded as such.
     """
-    return _finished(df, rank_file, pattern, id_col, text_col, chunk_bytes, digests=False)
+    scratch = scratch or Scratch(df.sparkSession, "bpe")
+    kind = dict(df.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, counts, codes, ids, _ in _texts(batches):
+            flat, offsets = ids.flatten().to_numpy(), ids.offsets.to_numpy().astype(np.int64)
+            start, size = offsets[:-1] - offsets[0], np.diff(offsets)
+            for lo, hi, a, b in _groups(counts):
+                c = codes[a:b]
+                n = size[c]
+                at = np.repeat(start[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                ends = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(counts[lo:hi])]]
+                yield pa.RecordBatch.from_arrays([own.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[at], pa.int32()))], names=[id_col, "ids"])
 
+    return _dealt(_coded(df, rank_file, pattern, scratch, id_col, text_col, chunk)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
-def encode_digests(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+
+def encode_digests(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, scratch: Scratch | None = None) -> DataFrame:
     """As :func:`encode`, but with digests instead of ids: ``(id_col, n_tokens, ids_sha256, decoded_sha256)``.
 
-    The ids are decoded again by :func:`decoded`; decoded_sha256 is of these bytes.
+    ids_sha256 is of the decimal ids, joined by one space, decoded_sha256 of the bytes that the ids decode to.
     """
-    return _finished(df, rank_file, pattern, id_col, text_col, chunk_bytes, digests=True)
+    scratch = scratch or Scratch(df.sparkSession, "bpe")
+    kind = dict(df.dtypes)[id_col]
 
+    def digests(words: pa.Array, counts: np.ndarray, between: bytes) -> list[str]:
+        parts = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), words)
+        joined = pc.binary_join(parts, between)
+        data, at = memoryview(joined.buffers()[2] or b""), np.frombuffer(joined.buffers()[1], np.int32)[: len(counts) + 1].tolist()
+        return [hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(at[:-1], at[1:], strict=True)]
 
-def _finished(df: DataFrame, rank_file: str, pattern: str, id_col: str, text_col: str, chunk_bytes: int, digests: bool) -> DataFrame:
-    small_batches(df.sparkSession)
-    kind = dict(df.dtypes)[id_col]
-    ranks = load_ranks(rank_file)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, counts, codes, ids, decoded in _texts(batches):
+            size = pc.list_value_length(ids).to_numpy().astype(np.int64)
+            told = pc.binary_join(ids.cast(pa.list_(pa.string())), " ").cast(pa.binary())
+            for lo, hi, a, b in _groups(counts):
+                c = pa.array(codes[a:b])
+                n = np.add.reduceat(np.r_[size[codes[a:b]], 0], np.minimum(np.r_[0, np.cumsum(counts[lo:hi])[:-1]], b - a)) * (counts[lo:hi] > 0)
+                yield pa.RecordBatch.from_arrays(
+                    [own.slice(lo, hi - lo), pa.array(n), pa.array(digests(told.take(c), counts[lo:hi], b" ")), pa.array(digests(decoded.take(c), counts[lo:hi], b""))],
+                    names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        id_type = None
-
-        def rows():
-            nonlocal id_type
-            for b in batches:
-                id_type = b.schema.field(0).type
-                yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-
-        for ids, counts, codes, number in _chunks(rows(), compiled(pattern).findall, chunk_bytes):
-            words = [spelled(w.encode("utf-8", "surrogatepass")) for w in number]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids], pa.list_(id_type)), pa.array([counts], pa.list_(pa.int32())), pa.array([np.concatenate(codes).tobytes()], pa.binary()), pa.array([words], pa.list_(pa.string()))],
-                names=["ids", "counts", "codes", "words"],
-            )
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces_of(rank_file)
-        names = [b"%d" % i for i in range(len(table))]
-        for b in batches:
-            id_type = b.schema.field(0).type.value_type
-            for i in range(b.num_rows):
-                words = b.column(3)[i].values
-                flat = words.flatten().to_numpy(zero_copy_only=False)
-                size = np.diff(words.offsets.to_numpy()).astype(np.int64)
-                start = np.cumsum(size) - size
-                code = np.frombuffer(b.column(2)[i].as_py(), np.int32)
-                counts = np.array(b.column(1)[i].as_py(), np.int64)
-                ends = np.cumsum(counts)
-                ids = []
-                for lo, hi in zip(ends - counts, ends, strict=True):
-                    c = code[lo:hi]
-                    n = size[c]
-                    ids.append(flat[np.repeat(start[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(c) else flat[:0])
-                own = pa.array(b.column(0)[i].as_py(), id_type)
-                if digests:
-                    yield _digest_batch(own, ids, names, table, id_col)
-                else:
-                    yield pa.RecordBatch.from_arrays([own, pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
+    return _dealt(_coded(df, rank_file, pattern, scratch, id_col, text_col, chunk)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
-    source = df.select(f"`{id_col}`", F.col(f"`{text_col}`").cast("string").alias("text"))
-    chunks = source.mapInArrow(cut, f"ids array<{kind}>, counts array<int>, codes binary, words array<string>")
-    encoded = folded(chunks, "words", ranks, "encoded").select("ids", "counts", "codes", "encoded")
-    out = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
-    return encoded.mapInArrow(assemble, f"`{id_col}` {kind}, {out}")
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Each chunk's rows together and in order."""
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "k")
 
 
 @functools.cache
@@ -226,33 +320,6 @@ def pieces_of(rank_file: str) -> list[bytes]:
     return out
 
 
-def decoded(ids, table: list[bytes]) -> bytes:
-    """The bytes of token ids: their pieces put together."""
-    return b"".join(map(table.__getitem__, ids))
-
-
-def decode(df: DataFrame, rank_file: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``df`` with the decoded bytes of an id array as binary; NULL ids give NULL."""
-
-    @F.pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = pieces_of(rank_file)
-        for x in batches:
-            yield pd.Series([None if i is None else decoded(i, table) for i in x], dtype=object)
-
-    return df.withColumn(out_col, run(F.col(f"`{ids_col}`")))
-
-
-def _digest_batch(own: pa.Array, ids: list[np.ndarray], names: list[bytes], table: list[bytes], id_col: str) -> pa.RecordBatch:
-    from hashlib import sha256
-
-    lists = [x.tolist() for x in ids]
-    return pa.RecordBatch.from_arrays(
-        [own, pa.array([len(x) for x in lists], pa.int64()), pa.array([sha256(b" ".join(map(names.__getitem__, x))).hexdigest() for x in lists]), pa.array([sha256(decoded(x, table)).hexdigest() for x in lists])],
-        names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-    )
-
-
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to, as digests."""
     import public_tokenizers as tokenizers
