@@ -30,7 +30,7 @@ from weirflow.llm import cutting
 from weirflow.llm.shared import Scratch, filesystem, small_batches
 
 #: Characters of text in a chunk (a longer text is a chunk of its own).
-CHUNK = 16 << 20
+CHUNK = 32 << 20
 #: Buckets of the rank literal.
 BUCKETS = 1 << 17
 #: Words that are put together at a time.
@@ -121,7 +121,7 @@ def decode(df: DataFrame, rank_file: str, ids_col: str = "ids", out_col: str = "
 def _packed(columns: dict[str, pa.Array]) -> bytes:
     sink = pa.BufferOutputStream()
     batch = pa.RecordBatch.from_pydict(columns)
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -131,6 +131,27 @@ def _unpacked(data: bytes) -> pa.RecordBatch:
         return f.read_next_batch()
 
 
+def planes(numbers: np.ndarray) -> list[bytes]:
+    """Numbers from 0 on in bytes of seven bits, the first of all, then the second of those that have one, and so on."""
+    out = []
+    while len(numbers):
+        more = numbers >= 128
+        out.append(((numbers & 127) | (more.astype(numbers.dtype) << 7)).astype(np.uint8).tobytes())
+        numbers = numbers[more] >> 7
+    return out
+
+
+def numbers_of(planes_: list[bytes]) -> np.ndarray:
+    """The numbers that :func:`planes` took."""
+    out = np.zeros(len(planes_[0]) if planes_ else 0, np.int32)
+    on = np.arange(len(out))
+    for k, data in enumerate(planes_):
+        x = np.frombuffer(data, np.uint8)
+        out[on] |= (x & 127).astype(np.int32) << (7 * k)
+        on = on[x > 127]
+    return out
+
+
 def cut_words(df: DataFrame, pattern: str, scratch: Scratch, id_col: str, text_col: str, chunk: int) -> DataFrame:
     """Staged ``(chunk, k, word, payload)``: a row per distinct word of a chunk, and per chunk one with k -1, an empty word and what else the chunk has: ids, words per text, words in order.
 
@@ -150,7 +171,12 @@ def cut_words(df: DataFrame, pattern: str, scratch: Scratch, id_col: str, text_c
                 words, codes, counts = cutting.cut(texts, cutting.table_of(ranges))
             else:
                 words, codes, counts = cutting.cut_by(texts, finder(pattern, ranges))
-            payload = _packed({"ids": pa.array([ids], pa.list_(kind)), "counts": pa.array([counts.astype(np.int32)]), "codes": pa.array([codes.astype(np.int32)])})
+            # frequent words get small numbers
+            order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+            number_of = np.empty(len(words), np.int32)
+            number_of[order] = np.arange(len(words), dtype=np.int32)
+            words, codes = words.take(pa.array(order)), number_of[codes]
+            payload = _packed({"ids": pa.array([ids], pa.list_(kind)), "counts": pa.array([counts.astype(np.int32)]), "codes": pa.array([planes(codes)], pa.list_(pa.binary()))})
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), pa.array([b""]), pa.array([payload])], names=["chunk", "k", "word", "payload"])
             for at in range(0, len(words), 1 << 16):
                 part = words.slice(at, 1 << 16)
@@ -199,15 +225,15 @@ def finder(pattern: str, ranges):
 
 
 def _coded(df: DataFrame, rank_file: str, pattern: str, scratch: Scratch, id_col: str, text_col: str, chunk: int) -> DataFrame:
-    """``(chunk, k, path, ids, decoded)``: the rows of :func:`cut_words` with the ids of each word and what these decode to; a chunk's payload is in the file ``path``."""
+    """``(chunk, k, path, ids, decoded)``: the rows of :func:`cut_words` with the ids of each word and what these decode to; a chunk's payload is in the file ``path``. A chunk's rows are together and in order."""
     words = cut_words(df, pattern, scratch, id_col, text_col, chunk)
     rows = words.select("chunk", "k", "word", F.when(F.col("k") < 0, F.col("_metadata.file_path")).alias("path"))
     # a word's rows are next to each other: the first is folded, and what it gives goes on to the others
     same = Window.partitionBy("word").orderBy("chunk", "k")
     first = folded(rows.withColumn("nth", F.row_number().over(same)), "word", rank_file, "ids", "nth = 1")
-    first = decode(first, rank_file, "ids", "decoded")
     on = same.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return first.select("chunk", "k", "path", F.first("ids", ignorenulls=True).over(on).alias("ids"), F.first("decoded", ignorenulls=True).over(on).alias("decoded"))
+    ids = first.select("chunk", "k", "path", F.first("ids", ignorenulls=True).over(on).alias("ids"))
+    return decode(ids.repartition("chunk").sortWithinPartitions("chunk", "k"), rank_file)
 
 
 def _payload(path: str, chunk: int) -> pa.RecordBatch:
@@ -226,7 +252,7 @@ def _texts(batches: Iterator[pa.RecordBatch]):
     def done():
         x = _payload(payload, chunk)
         empty = pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary())
-        return x.column(0).flatten(), x.column(1)[0].values.to_numpy(), x.column(2)[0].values.to_numpy(), pa.concat_arrays(ids) if ids else empty[0], pa.concat_arrays(words) if words else empty[1]
+        return x.column(0).flatten(), x.column(1)[0].values.to_numpy(), numbers_of(x.column(2)[0].as_py()), pa.concat_arrays(ids) if ids else empty[0], pa.concat_arrays(words) if words else empty[1]
 
     for b in batches:
         of = b.column(0).to_numpy()
@@ -273,7 +299,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
                 ends = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(counts[lo:hi])]]
                 yield pa.RecordBatch.from_arrays([own.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[at], pa.int32()))], names=[id_col, "ids"])
 
-    return _dealt(_coded(df, rank_file, pattern, scratch, id_col, text_col, chunk)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return _coded(df, rank_file, pattern, scratch, id_col, text_col, chunk).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def encode_digests(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, scratch: Scratch | None = None) -> DataFrame:
@@ -302,12 +328,7 @@ def encode_digests(df: DataFrame, rank_file: str, pattern: str, id_col: str = "d
                     names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return _dealt(_coded(df, rank_file, pattern, scratch, id_col, text_col, chunk)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-
-
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Each chunk's rows together and in order."""
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "k")
+    return _coded(df, rank_file, pattern, scratch, id_col, text_col, chunk).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 @functools.cache
