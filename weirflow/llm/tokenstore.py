@@ -17,6 +17,7 @@ import functools
 import hashlib
 import json
 import os
+import struct
 import uuid
 import zlib
 from collections import OrderedDict
@@ -85,6 +86,15 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers ``start[i], start[i] + 1, ...``, n[i] of them, for all i; each n is 1 at least."""
+    step = np.ones(int(n.sum()), np.int32)
+    if len(n):
+        step[0] = start[0]
+        step[np.cumsum(n)[:-1]] = start[1:] - (start[:-1] + n[:-1] - 1)
+    return np.cumsum(step, out=step)
+
+
 class Encoder:
     """Ids of whole texts by a file of the tokenizers library, as one array for a batch of texts, in a store's width.
 
@@ -94,7 +104,7 @@ class Encoder:
     """
 
     #: Bytes (about) of words and ids that are remembered; then all are forgotten.
-    BYTES = 48 << 20
+    BYTES = 96 << 20
     #: What an entry takes besides its characters and ids.
     ENTRY = 200
 
@@ -107,22 +117,28 @@ class Encoder:
         self.table = cutting.table_of(cutting.tokenizers_classes())
         self.words: dict[str, bytes] = {}
         self.size = 0
+        self.tokenize = self.of.model.tokenize
+        self.pack = [struct.Struct(f"<{n}{'H' if self.dtype.itemsize == 2 else 'I'}").pack for n in range(32)]
         # the characters in which byte-level words are written: printable bytes are themselves, the others follow from U+0100 on
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         self.spell = {b: b for b in shown} | {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
 
     def _word(self, word: str) -> bytes:
-        return np.array([t.id for t in self.of.model.tokenize(word.encode().decode("latin-1").translate(self.spell))], self.dtype).tobytes()
+        ids = [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.spell))]
+        return self.pack[len(ids)](*ids) if len(ids) < len(self.pack) else np.array(ids, self.dtype).tobytes()
 
     def _words(self, words: list[str]) -> list[bytes]:
         out = list(map(self.words.get, words))
+        if self.size > self.BYTES:
+            self.words.clear()
+            self.size = 0
         for i, x in enumerate(out):
             if x is None:
-                if self.size > self.BYTES:
-                    self.words.clear()
-                    self.size = 0
-                x = out[i] = self.words[words[i]] = self._word(words[i])
-                self.size += len(words[i]) + len(x) + self.ENTRY
+                w = words[i]
+                x = out[i] = self._word(w)
+                if self.size <= self.BYTES:
+                    self.words[w] = x
+                    self.size += len(w) + len(x) + self.ENTRY
         return out
 
     def __call__(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +150,7 @@ class Encoder:
         flat = np.frombuffer(b"".join(coded), self.dtype)
         size = np.fromiter(map(len, coded), np.int64, len(coded)) // self.dtype.itemsize
         start, n = np.cumsum(size) - size, size[codes]
-        ids = flat[np.repeat(start[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        ids = flat[_runs(start[codes], n)]
         ends = np.r_[0, np.cumsum(n)][np.cumsum(counts)] if len(counts) else np.zeros(0, np.int64)
         if own:
             parts = [own.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True))]
@@ -184,7 +200,8 @@ def write_store(df: DataFrame, tokenizer_path: str, scratch: Scratch, id_col: st
     A NULL id comes first; rows that repeat an id are in the order of their texts; an empty table writes an empty store; other
     columns are ignored. Very long texts are encoded whole; memory is that of a batch of texts and of a pack's addresses.
     """
-    small_batches(df.sparkSession)
+    # texts of one batch share what they have of words
+    small_batches(df.sparkSession, 4096)
     kind = dict(df.dtypes)[id_col]
     dtype = "<u2" if tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
     width = np.dtype(dtype).itemsize
