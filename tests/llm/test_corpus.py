@@ -169,9 +169,76 @@ def test_extract_marks(page, text):
     assert extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><p>One two, three <span class='ad'>buy now</span> four.</p><ul><li><a href=x>Read also this</a></li><li><a href=y>And this</a></li></ul><p>Five, six.</p></article>", "One two, three four. Five, six."),
+    ("<body><div><div><p>A long text, with marks. It goes on, and on.</p><p>More of it.</p></div></div><div><ul><li><a href=x>Home</a></li><li><a href=y>About</a></li></ul></div><div>Top</div>", "A long text, with marks. It goes on, and on. More of it."),
+    ("<html class='no-sidebar'><article class='has-menu social-studies'><p>Text, here.</p></article>", "Text, here."),
+])
+def test_extract_ratios(page, text):
+    """Without marks, length, punctuation and links decide."""
+    assert extract.main_text(page) == text
+
+
+def test_extract_ratio_sums():
+    """Sums per path, ratios, smoothing and fusion against a plain version."""
+    r = random.Random(12)
+    for _ in range(200):
+        paths = extract.Paths()
+        leaf = [paths.below(paths.below(0, r.choice("ab"), False), t, r.random() < 0.2) for t in ("p", "div", "li")]
+        found = [extract.Block(r.choice(leaf), "".join(r.choice("ab ,.") for _ in range(r.randrange(1, 60))) + "x") for _ in range(r.randrange(1, 12))]
+        for b in found:
+            b.linked = r.choice([0, 0, len(b.text), len(b.text) // 3])
+        prior, of = extract._prior(found, paths), lambda p, found=found: [b for b in found if b.path == p]
+
+        def ratio(p, of=of, prior=prior):
+            own = of(p)
+            chars, signs, links = (sum(x) / len(own) for x in ((len(b.text) for b in own), (sum(c in ",." for c in b.text) for b in own), (b.linked for b in own)))
+            return chars * (1 + np.log1p(signs)) * (1 - links / chars) * prior[p]
+
+        for p, got in extract.ratios(found, paths).items():
+            each = []
+            for i, b in enumerate(found):
+                if b.path == p:
+                    near = [ratio(x.path) for x in found[max(0, i - 2) : i + 3]]
+                    each.append(np.sqrt(sum(near) / len(near) * ratio(p)))
+            assert got == pytest.approx(sum(each) / len(each), abs=1e-6)
+
+
+def test_extract_known():
+    """Pages of a known text in several layouts: precision and recall of words; the ratios alone decide in some."""
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    both = got_n = want_n = 0
+    for k in range(200):
+        text = [line(r.randrange(3, 60)) for _ in range(r.randrange(2, 12))] + [line(50)]
+        body = "".join(f"<p>{t}</p>" for t in text)
+        menu = "<ul>" + "".join(f"<li><a href=/{word()}>{word()}</a></li>" for _ in range(8)) + "</ul>"
+        side = f"<div><div><span>{word()}</span></div></div>"
+        page = [f"<nav>{menu}</nav><article>{body}</article><footer>{line(5)}</footer>", f"<div>{menu}</div><div><section>{body}</section></div>{side}", f"<div class='page has-sidebar'>{menu}<div id=content>{body}</div><div class=sidebar>{line(8)}</div></div>"][k % 3]
+        got, want = collections.Counter(extract.main_text(page).split()), collections.Counter(" ".join(text).split())
+        both += (got & want).total()
+        got_n += got.total()
+        want_n += want.total()
+    assert both >= 0.98 * got_n and both >= 0.99 * want_n
+
+
+def test_extract_large():
+    """Tags that do not end, and deep nesting, take time in proportion."""
+    import time
+
+    began = time.perf_counter()
+    for page in ("<a" * 500_000, "<a " * 300_000, '<a b="' * 200_000, "<script>" * 120_000, "<" * 1_000_000, "<!--" * 250_000, "</div" * 200_000, "<div>" * 100_000 + "x" + "</span></p></x>" * 100_000):
+        extract.main_text(page)
+    assert extract.main_text("<div class=ad>" * 100_000 + "x. yy") == "x. yy"
+    assert extract.main_text("<p>" + "word " * 400_000) == ("word " * 400_000).strip()
+    assert time.perf_counter() - began < 20
+
+
 def test_extract_rows(spark):
     p = spark.createDataFrame([(1, "u", "<p>a</p>", 3), (1, "u", "<p>a</p>", 3), (None, None, None, None)], "page_id int, url string, html string, text int")
     _same(extract.extracted(p), [(1, "u", "a")] * 2 + [(None, None, "")])
+    assert extract.extracted(p.limit(0)).count() == 0
 
 
 def test_quality(docs, rows, empty):

@@ -1,11 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
-Every text node has a path of block tags from the root. Text length and punctuation are summed up per path; their
-ratios to the number of nodes are smoothed over the nodes in page order, fused, and a threshold selects content
-paths. Boilerplate by its element (navigation, forms, scripts, ...) takes no part; an element whose class, id or role has a word
-of boilerplate (adverts, reader comments, ...) does not either, unless it is the page's frame, a heading, holds most of the
-page's text, or is a block of text whose own ratio is that of content. What
-stands in the container of the content paths is the main text, headings and short paragraphs included.
+Every block of text has a path of block tags from the root; marked elements (a word of boilerplate in class, id or role) have
+paths of their own. Text length, punctuation and text in links are summed up per path; their ratios to the number of
+blocks are smoothed over the blocks in page order and fused, and a threshold on the fused ratio selects content paths. Marks
+only lower a path's ratio, less so on paragraphs, and not at all on the page's frame, on headings and on what holds most of the page's text.
+
+What stands in the container of the content paths is the main text, headings and short paragraphs included; there too, marked
+paths and lists of links stay only if their ratio reaches the threshold. Elements that are no article by their name (navigation,
+forms, scripts, ...) take no part.
 """
 
 from __future__ import annotations
@@ -13,9 +15,9 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,165 +25,244 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.shared import small_batches, text_column
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-#: Elements whose content is not text (fixed values).
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+""")
+#: Elements whose content is not text.
 RAW = frozenset("script style noscript template iframe textarea title svg math object".split())
-#: Elements that are no content (fixed values).
+#: Elements that are no content.
 OUT = frozenset("nav footer aside form button select option dialog menu label input fieldset head".split())
-#: Elements inside a line; they are no part of a path and break no block (fixed values).
+#: Elements inside a line; they are no part of a path and break no block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp".split())
-#: Elements without an end tag (fixed values).
+#: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark boilerplate (fixed values).
+#: Words in class, id or role that mark boilerplate.
 MARKED = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus dropdown footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion recommended related share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets navigation complementary contentinfo replies respond".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus dropdown footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion recommended related share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets complementary contentinfo replies respond".split()
 )
-#: Elements that marks never bar (fixed values).
+#: Elements that marks never touch: the page's frame and headings; blocks of text, whose own ratio speaks.
 FRAME = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
-#: Blocks of text, that marks bar only if their own ratio is low (fixed values).
 TEXT = frozenset("p blockquote pre".split())
-#: What an open element of this kind is closed by (fixed values).
+#: What an open element of this kind is closed by.
 _CLOSES = {"p": {"p", "div", "ul", "ol", "table", "section", "article", "aside", "header", "footer", "nav", "form", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dl", "main", "figure", "hr", "address"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _PUNCTUATION = re.compile(r"[.,;:!?。，、！？]")
-#: Nodes on each side that a ratio is smoothed over; share of the best that a path must reach.
-REACH, SHARE = 2, 0.2
+#: Blocks on each side that a ratio is smoothed over; share of the best that a content path reaches; what marks leave of a ratio, and of that of a block of text.
+REACH, SHARE, LOWERED, LOWERED_TEXT = 2, 0.2, 0.02, 0.3
 
 
 @dataclass
-class Node:
-    """A block's text with its path."""
+class Paths:
+    """The paths of a page as a tree: each has a parent with a lesser number; 0 is the root."""
 
-    path: tuple[str, ...]
-    text: str
-    #: Numbers and tags of the marked elements that it is in.
-    marks: tuple[tuple[int, str], ...] = ()
+    parent: list[int] = field(default_factory=lambda: [0])
+    tag: list[str] = field(default_factory=lambda: [""])
+    #: Number of the innermost marked element of the path, 0 if there is none.
+    mark: list[int] = field(default_factory=lambda: [0])
+    #: The marked elements: the next one outside, and the tag.
+    outside: list[int] = field(default_factory=lambda: [0])
+    marked_tag: list[str] = field(default_factory=lambda: [""])
+    _known: dict = field(default_factory=dict)
 
+    def below(self, path: int, tag: str, marked: bool) -> int:
+        """The path of a child; a marked element has one of its own."""
+        if not marked and (found := self._known.get((path, tag))):
+            return found
+        number = len(self.parent)
+        self.parent.append(path)
+        self.tag.append(tag)
+        mark = self.mark[path]
+        if marked:
+            self.outside.append(mark)
+            self.marked_tag.append(tag)
+            mark = len(self.outside) - 1
+        else:
+            self._known[path, tag] = number
+        self.mark.append(mark)
+        return number
 
-def _ratio(length: float, marks: float) -> float:
-    return length * (1 + math.log1p(marks))
 
+@dataclass
+class Block:
+    """A block's text, its path, and how many of its characters are in links."""
 
-def _marked(attributes: str) -> bool:
-    for m in _NAMED.finditer(attributes) if attributes else ():
-        for word in re.split(r"[\s_\-]+", (m[1] or m[2] or m[3] or "").lower()):
-            if word in MARKED:
-                return True
-    return False
+    path: int
+    text: str
+    linked: int = 0
 
 
-def nodes(page: str) -> list[Node]:
-    """The blocks of a page that are not boilerplate, in order, references decoded, white space single."""
-    stack: list[tuple[str, bool, tuple[tuple[int, str], ...]]] = []
-    out: list[Node] = []
-    parts: list[str] = []
-    barred = number = 0
-    at, n = 0, len(page)
+def _marked(values: list[str]) -> bool:
+    return any(word in MARKED for v in values for word in re.split(r"[\s_\-]+", v.lower()))
 
-    def flush():
-        text = " ".join(html.unescape("".join(parts)).split())
-        parts.clear()
-        if text:
-            out.append(Node(tuple(t for t, _, _ in stack), text, stack[-1][2] if stack else ()))
-
-    while at < n:
-        m = _TAG.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
-        if text and not barred:
-            parts.append(text)
+
+def tags(page: str) -> Iterator[tuple[str, str, bool, list[str]]]:
+    """``(text before, tag, closing, values of class, id and role)`` of a page, one after another; the last has no tag.
+
+    In time proportional to the page: no place is looked at more than a few times. A tag or comment that does not end takes the rest.
+    """
+    at, n, start = 0, len(page), 0
+    while True:
+        i = page.find("<", at)
+        if i < 0 or i + 1 >= n:
+            yield page[start:], "", False, []
+            return
+        c = page[i + 1]
+        if c in "!?":
+            end = page.find("-->", i + 4) + 2 if page.startswith("<!--", i) else page.find(">", i)
+            yield page[start:i], "", False, []
+            if end < i:
+                return
+            at = start = end + 1
+            continue
+        closing = c == "/"
+        m = _NAME.match(page, i + 1 + closing)
         if not m:
-            break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+            at = i + 1
             continue
-        closing, attributes = (m[1] or m[4]) == "/", m[3] or m[6] or ""
+        tag, k, values = m[0].lower(), m.end(), []
+        while not closing and (a := _ATTRIBUTE.match(page, k)):
+            if a[1].lower() in ("class", "id", "role") and a[2]:
+                values.append(a[2].strip("\"'"))
+            k = a.end()
+        k = page.find(">", k)
+        yield page[start:i], tag, closing, values
+        if k < 0:
+            return
+        at = start = k + 1
         if not closing and tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s>/])", re.I).search(page, at)
+            if not end or (end := page.find(">", end.end())) < 0:
+                return
+            at = start = end + 1
+
+
+def blocks(page: str) -> tuple[list[Block], Paths]:
+    """The blocks of a page that are in no element without content, in order, references decoded, white space single."""
+    paths, out = Paths(), []
+    stack: list[tuple[str, bool, int]] = []
+    opened: Counter = Counter()
+    parts: list[tuple[str, bool]] = []
+    barred = links = 0
+    muted: list[str] = []
+
+    def flush():
+        if parts:
+            text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
+            if text:
+                out.append(Block(stack[-1][2] if stack else 0, text, min(len(text), len(" ".join("".join(p for p, linked in parts if linked).split())))))
+            parts.clear()
+
+    def close():
+        nonlocal barred
+        tag, bad, _ = stack.pop()
+        opened[tag] -= 1
+        barred -= bad
+
+    for text, tag, closing, values in tags(page):
+        if text and not barred and not muted:
+            parts.append((text, links > 0))
+        if not tag or tag in RAW:
             continue
         if tag in VOID:
-            if tag in ("br", "hr") and not barred:
-                parts.append(" ")
+            if tag in ("br", "hr"):
+                parts.append((" ", False))
             continue
         if tag in INLINE:
+            links = max(0, links + (-1 if closing else 1)) if tag == "a" else links
+            # an advert inside a line has no ratio of its own
+            if closing and muted and muted[-1] == tag:
+                muted.pop()
+            elif not closing and (tag in muted or _marked(values)):
+                muted.append(tag)
             continue
         flush()
+        links, muted = 0, []
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    barred -= sum(b for _, b, _ in stack[k:])
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                while stack[-1][0] != tag:
+                    close()
+                close()
             continue
         while stack and tag in _CLOSES.get(stack[-1][0], ()):
-            barred -= stack.pop()[1]
-        bad = tag in OUT or tag == "header" and not any(t in ("article", "main") for t, _, _ in stack)
-        if not attributes.rstrip().endswith("/"):
-            marks = stack[-1][2] if stack else ()
-            if tag not in FRAME and _marked(attributes):
-                number += 1
-                marks = (*marks, (number, tag))
-            stack.append((tag, bad, marks))
-            barred += bad
-    if not barred:
-        flush()
-    return _unmarked(out)
-
-
-def _unmarked(found: list[Node]) -> list[Node]:
-    """The blocks in no marked element, or in such only as hold most of the page's text or are text by their own ratio."""
-    if not any(x.marks for x in found):
-        return found
-    size, signs, total = defaultdict(int), defaultdict(int), sum(len(x.text) for x in found)
-    for x in found:
-        for m in x.marks:
-            size[m] += len(x.text)
-            signs[m] += len(_PUNCTUATION.findall(x.text))
-    large = {m for m in size if 2 * size[m] > total}
-    free = [x for x in found if large.issuperset(x.marks)]
-    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for x in free:
-        length[x.path] += len(x.text)
-        marks[x.path] += len(_PUNCTUATION.findall(x.text))
-        count[x.path] += 1
-    best = max((_ratio(length[p] / count[p], marks[p] / count[p]) for p in count), default=0)
-    kept = large | {m for m in size if m[1] in TEXT and _ratio(size[m], signs[m]) >= SHARE * best}
-    return [x for x in found if kept.issuperset(x.marks)]
+            close()
+        bad = tag in OUT or tag == "header" and not opened["article"] and not opened["main"]
+        stack.append((tag, bad, paths.below(stack[-1][2] if stack else 0, tag, tag not in FRAME and _marked(values))))
+        opened[tag] += 1
+        barred += bad
+    flush()
+    return out, paths
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page; '' for NULL, empty and textless pages."""
-    found = nodes(page or "")
-    if not found:
-        return ""
-    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for x in found:
-        length[x.path] += len(x.text)
-        marks[x.path] += len(_PUNCTUATION.findall(x.text))
-        count[x.path] += 1
-    ratio = {p: _ratio(length[p] / count[p], marks[p] / count[p]) for p in count}
-    raw = [ratio[x.path] for x in found]
+def _prior(found: list[Block], paths: Paths) -> list[float]:
+    """What every path's ratio is multiplied by for the marked elements that it is in; what holds most of the page's text counts as unmarked."""
+    size = [0] * len(paths.outside)
+    for b in found:
+        size[paths.mark[b.path]] += len(b.text)
+    total = sum(size)
+    for m in range(len(size) - 1, 0, -1):
+        if paths.outside[m]:
+            size[paths.outside[m]] += size[m]
+    left = [1.0] * len(size)
+    for m in range(1, len(size)):
+        own = 1.0 if 2 * size[m] > total else LOWERED_TEXT if paths.marked_tag[m] in TEXT else LOWERED
+        left[m] = min(left[paths.outside[m]], own)
+    return [left[m] for m in paths.mark]
+
+
+def ratios(found: list[Block], paths: Paths) -> dict[int, float]:
+    """The fused ratio of every path that has a block."""
+    length, marks, linked, count = Counter(), Counter(), Counter(), Counter()
+    for b in found:
+        length[b.path] += len(b.text)
+        marks[b.path] += len(_PUNCTUATION.findall(b.text))
+        linked[b.path] += b.linked
+        count[b.path] += 1
+    prior = _prior(found, paths)
+    ratio = {p: length[p] / n * (1 + math.log1p(marks[p] / n)) * (1 - linked[p] / length[p]) * prior[p] for p, n in count.items()}
+    raw = [ratio[b.path] for b in found]
     total = [0.0]
     for r in raw:
         total.append(total[-1] + r)
-    smooth = [(total[min(i + REACH + 1, len(raw))] - total[max(i - REACH, 0)]) / (min(i + REACH + 1, len(raw)) - max(i - REACH, 0)) for i in range(len(raw))]
-    fused: dict[tuple[str, ...], float] = defaultdict(float)
-    for x, s, r in zip(found, smooth, raw, strict=True):
-        fused[x.path] += math.sqrt(s * r) / count[x.path]
-    best = max(fused.values())
-    content = [p for p in fused if fused[p] >= SHARE * best]
-    roots = set()
-    for p in content:
-        inner = max((k for k, t in enumerate(p) if t in ("article", "main")), default=-1)
-        roots.add(p[: inner + 1] if inner >= 0 else p[:-1])
-    special = {r for r in roots if r and r[-1] in ("article", "main")}
-    roots = special or roots
-    return " ".join(x.text for x in found if any(x.path[: len(r)] == r for r in roots))
+    fused: dict[int, float] = dict.fromkeys(count, 0.0)
+    for i, b in enumerate(found):
+        lo, hi = max(i - REACH, 0), min(i + REACH + 1, len(raw))
+        fused[b.path] += math.sqrt(max(total[hi] - total[lo], 0.0) / (hi - lo) * raw[i]) / count[b.path]
+    return fused
+
+
+def chosen(found: list[Block], paths: Paths) -> list[bool]:
+    """Which blocks are main text."""
+    fused = ratios(found, paths)
+    least = SHARE * max(fused.values())
+    content = [p for p in fused if fused[p] >= least]
+    inner = [0] * len(paths.parent)
+    for p in range(1, len(inner)):
+        inner[p] = p if paths.tag[p] in ("article", "main") else inner[paths.parent[p]]
+    roots = {inner[p] for p in content if inner[p]} or {paths.parent[p] for p in content}
+    inside = [0 in roots] * len(inner)
+    for p in range(1, len(inner)):
+        inside[p] = p in roots or inside[paths.parent[p]]
+    length, linked = Counter(), Counter()
+    for b in found:
+        length[b.path] += len(b.text)
+        linked[b.path] += b.linked
+    prior = _prior(found, paths)
+    plain = {p: prior[p] == 1 and 2 * linked[p] <= length[p] for p in fused}
+    own = set(content)
+    return [inside[b.path] and (b.path in own or plain[b.path]) for b in found]
+
+
+def main_text(page: str | None) -> str:
+    """The main text of a page; '' for NULL, empty and textless pages."""
+    found, paths = blocks(page or "")
+    return " ".join(b.text for b, on in zip(found, chosen(found, paths), strict=True) if on) if found else ""
 
 
 def extracted(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(id_col, url, text)`` per row; other columns are ignored, repeated rows are extracted alike."""
+    """``(id_col, url, text)`` per row.
+
+    NULL and empty pages have an empty text; repeated rows are extracted alike; paths of equal ratio are treated alike; an empty
+    table gives an empty result; other columns are ignored. Time and memory are in proportion to a page, however long it is,
+    deep it is nested or many of its tags do not end.
+    """
     small_batches(df.sparkSession)
     kind = dict(df.dtypes)[id_col]
 
