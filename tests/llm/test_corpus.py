@@ -528,6 +528,30 @@ def test_toxicity(spark, empty):
     assert toxicity.learn(empty, spark.createDataFrame([], "doc_id long, toxic int")).weights == {}
 
 
+def test_toxicity_sample(spark):
+    """Copies count once, texts that share a first sentence each count; a huge text does not end the sample."""
+    r = random.Random(15)
+    rows = [(i, "One opening. " + " ".join(f"w{r.randrange(99)}" for _ in range(9)) + (". you vile one" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(300)]
+    rows += [(1000 + i, "x " * 50_000, i % 2) for i in range(4)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, chars=30_000)
+    assert model.score("you vile one") >= toxicity.THRESHOLD > model.score("One opening. w1 w2")
+    copies = toxicity.fit([rows[0][1]] * 50 + [t for _, t, _ in rows[1:9]], [1] * 50 + [y for _, _, y in rows[1:9]], min_texts=1)
+    once = toxicity.fit([t for _, t, _ in rows[:9]], [y for _, _, y in rows[:9]], min_texts=1)
+    assert copies == once
+
+
+def test_toxicity_held_out(spark):
+    """Held-out rows of sf0.1: nothing clean is called toxic; labels of toxic texts without any sign of it are a twelfth."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    out = QUERIES["op10_toxicity"](spark, folder).where("held_out").join(labels, "doc_id")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in out.groupBy("toxic", "predicted").count().collect()}
+    assert n.get((0, 1), 0) <= 0.005 * n[0, 0]
+    assert n[1, 1] >= 0.8 * (n[1, 1] + n[1, 0])
+
+
 def test_toxicity_length():
     """Plain sentences have no share in the score, however many; one toxic sentence among them still has its own."""
     r = random.Random(8)

@@ -29,13 +29,13 @@ FIT_ROWS = 4000
 FIT_CHARS = 40_000_000
 #: A word is a feature if so many texts of the sample hold it.
 MIN_TEXTS = 5
-#: Weight of the sum of absolute word weights in the loss, in units of a text's log loss.
-SPARSITY = 1.0
+#: Weight of the sum of absolute word weights in the loss, in units of a text's log loss, when features are picked, and when these are fitted again.
+SPARSITY, RELAXED = 0.6, 0.02
 #: Lengths of the word beginnings that are features too.
 PREFIXES = (3, 4, 5)
 #: Features kept by the screening, at most.
 MOST_FEATURES = 1500
-#: Bound of the bias, and so of a text's leak.
+#: The bias of a sentence, and so of a text's leak.
 MOST_BIAS = -6.0
 THRESHOLD = 0.7
 _ROUNDS = 300
@@ -93,16 +93,17 @@ class NoisyOr:
         return -math.expm1(-total)
 
 
-def fit(texts: list[str | None], labels: list[int], min_texts: int = MIN_TEXTS, sparsity: float = SPARSITY, rounds: int = _ROUNDS, most: int = MOST_FEATURES) -> NoisyOr:
-    """Maximum likelihood of the labels under the noisy-or, with an L1 penalty, by proximal AdaGrad.
+def fit(texts: list[str | None], labels: list[int], min_texts: int = MIN_TEXTS, sparsity: float = SPARSITY, relaxed: float = RELAXED, rounds: int = _ROUNDS, most: int = MOST_FEATURES) -> NoisyOr:
+    """Maximum likelihood of the labels under the noisy-or, by proximal AdaGrad, in two steps.
 
-    Features are screened first: the ``most`` whose presence in texts parts the labels best by the
-    chi-square statistic. A group of copies counts once: texts with equal first sentences and labels are one.
+    Features are screened first: the ``most`` whose presence in texts parts the labels best by the chi-square statistic. The first step
+    has an L1 penalty and picks features; the second fits those of positive weight again, with next to none. A text may be
+    labelled toxic by mistake: the fit has a share of such labels as a parameter, which the score leaves out. A group
+    of copies counts once: rows of equal texts and labels are one.
     """
     bags, y, seen = [], [], set()
     for text, label in zip(texts, labels, strict=True):
-        bag = [set(s.lower().split()) for s in sentences(text)]
-        if not bag or (key := (frozenset(bag[0]), label)) in seen:
+        if (key := (text, label)) in seen or not (bag := [set(s.lower().split()) for s in sentences(text)]):
             continue
         seen.add(key)
         bags.append(bag)
@@ -124,45 +125,54 @@ def fit(texts: list[str | None], labels: list[int], min_texts: int = MIN_TEXTS,
         return (b * all_ - n * bad) ** 2 / (n * max(all_ - n, 0.5))
 
     enough = [f for f in count[1] if count[0][f] + count[1][f] >= min_texts]
-    number = {f: i for i, f in enumerate(sorted(enough, key=lambda f: (-parting(f), f))[:most])}
-    if not number:
-        return NoisyOr()
-    ids_of = {t: [number[f] for f in fs if f in number] for t, fs in known.items()}
+    screened = sorted(enough, key=lambda f: (-parting(f), f))[:most]
+    picked = [f for f, w in _weights(bags, y, known, screened, sparsity, rounds).items() if w > 0]
+    return NoisyOr(MOST_BIAS, {f: w for f, w in _weights(bags, y, known, picked, relaxed, 2 * rounds).items() if w})
+
+
+def _weights(bags: list[list[set[str]]], labels: list[int], known: dict[str, list[str]], chosen: list[str], sparsity: float, rounds: int) -> dict[str, float]:
+    """The weights of the ``chosen`` features; ``known`` has all features of a token."""
+    number = {f: i for i, f in enumerate(chosen)}
+    ids_of = {t: ids for t, fs in known.items() if (ids := [number[f] for f in fs if f in number])}
     of_sentence, feature, of_text = [], [], []
     for k, bag in enumerate(bags):
         for s in bag:
-            for t in s:
-                ids = ids_of[t]
-                feature += ids
-                of_sentence += [len(of_text)] * len(ids)
-            of_text.append(k)
+            at = len(of_text)
+            for t in s & ids_of.keys():
+                feature += ids_of[t]
+                of_sentence += [at] * len(ids_of[t])
+            if of_sentence and of_sentence[-1] == at:
+                of_text.append(k)
+    if not feature:
+        return {}
     feature, of_sentence, of_text = np.array(feature), np.array(of_sentence), np.array(of_text)
-    y = np.array(y, float)
-    theta, bias, seen_g, seen_b = np.zeros(len(number)), -6.0, np.full(len(number), 1.0), 1.0
+    y = np.array(labels, float)
+    theta, seen_g = np.zeros(len(number)), np.full(len(number), 1.0)
+    wrong, seen_w = -3.0, 1.0
+    plain = np.logaddexp(0, MOST_BIAS)
     for _ in range(rounds):
         z = np.bincount(of_sentence, theta[feature], len(of_text))
-        plain, on = np.logaddexp(0, bias), z >= 0
-        total = plain + np.bincount(of_text, np.where(on, np.logaddexp(0, bias + z) - plain, 0), len(y))
+        on = z >= 0
+        total = np.logaddexp(0, wrong) + np.bincount(of_text, np.where(on, np.logaddexp(0, MOST_BIAS + z) - plain, 0), len(y))
         # d loss / d total: 1 for clean texts, -q / (1 - q) for toxic ones, q = exp(-total)
         slope = np.where(y > 0, -1 / np.expm1(np.clip(total, 1e-4, 700)), 1.0)
-        leak = 1 / (1 + np.exp(-bias))
-        p = 1 / (1 + np.exp(-(bias + z)))
-        g = np.where(on, slope[of_text] * p, 0)
-        g_bias = slope.sum() * leak + np.where(on, slope[of_text] * (p - leak), 0).sum()
+        g = np.where(on, slope[of_text] / (1 + np.exp(-(MOST_BIAS + z))), 0)
         grad = np.bincount(feature, g[of_sentence], len(theta))
+        g_wrong = slope.sum() / (1 + np.exp(-wrong))
         seen_g += grad**2
-        seen_b += g_bias**2
+        seen_w += g_wrong**2
         step = 1.5 / np.sqrt(seen_g)
         theta -= step * grad
         theta = np.sign(theta) * np.maximum(np.abs(theta) - step * sparsity, 0)
-        bias = min(bias - 1.5 / np.sqrt(seen_b) * g_bias, MOST_BIAS)
-    return NoisyOr(float(bias), {w: float(theta[i]) for w, i in number.items() if theta[i]})
+        wrong -= 1.5 / np.sqrt(seen_w) * g_wrong
+    return {f: float(theta[i]) for f, i in number.items()}
 
 
 def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> NoisyOr:
     """Fit on at most ``rows`` labelled rows and ``chars`` characters, those with the least hash of their id.
 
-    Rows whose id is held out are not looked at; NULL labels and ids are not either.
+    A text that is longer than what is left of the characters is passed over, and shorter ones after it are taken. Rows whose id is
+    held out are not looked at; NULL labels and ids are not either.
     """
     i = F.col(f"`{id_col}`").cast("string")
     own = labels.where(F.col(f"`{label_col}`").isNotNull() & (F.crc32(i.cast("binary")) % 3 != 1))
@@ -171,9 +181,9 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = df.select(i.alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
     found, size = [], 0
     for r in texts.join(F.broadcast(chosen), "__id").orderBy(F.xxhash64("__id"), "__text").toLocalIterator():
-        if (size := size + len(r["__text"] or "")) > chars:
-            break
-        found.append((r["__text"], r["__label"]))
+        if size + len(r["__text"] or "") <= chars:
+            size += len(r["__text"] or "")
+            found.append((r["__text"], r["__label"]))
     return fit([t for t, _ in found], [y for _, y in found])
 
 
