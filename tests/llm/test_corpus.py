@@ -493,20 +493,77 @@ def test_suffix_array():
                 assert suffixes.common_prefixes(t, sa, 50)[k + 1] == min(50, next((j for j in range(min(len(x), len(y))) if x[j] != y[j]), min(len(x), len(y)))) if k < 20 else True
 
 
-def test_substrings(docs, rows, empty):
+def _without_repeats(rows, window):
     words = [t.encode().split() for _, t in rows]
-    seen = collections.Counter(tuple(w[k : k + 35]) for w in words for k in range(len(w) - 34))
-    want = []
+    seen = collections.Counter(tuple(w[k : k + window]) for w in words for k in range(len(w) - window + 1))
     for (i, _), w in zip(rows, words, strict=True):
         gone = [False] * len(w)
-        for k in range(len(w) - 34):
-            if seen[tuple(w[k : k + 35])] > 1:
-                gone[k : k + 35] = [True] * 35
-        want.append((i, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
-    _same(substrings.deduplicated(docs), want)
+        for k in range(len(w) - window + 1):
+            if seen[tuple(w[k : k + window])] > 1:
+                gone[k : k + window] = [True] * window
+        yield i, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()
+
+
+@pytest.mark.parametrize("segment", [4 << 20, 900])
+def test_substrings(docs, rows, empty, segment):
+    _same(substrings.deduplicated(docs, segment=segment), list(_without_repeats(rows, 35)))
     assert substrings.deduplicated(empty).count() == 0
 
 
+def test_substrings_runs(spark):
+    """Runs, periods, and passages in every document with other words around them, that a few words part, or at the ends; short windows too."""
+    r = random.Random(21)
+    word = lambda: f"w{r.randrange(60)}"
+    passage, texts = [word() for _ in range(50)], []
+    for k in range(60):
+        before, after = [word() for _ in range(r.randrange(40))], [word() for _ in range(r.randrange(40))]
+        own = list(passage)
+        if k % 5 == 0:
+            own[r.randrange(50)] = "other"
+        texts.append(" ".join(before + own[r.randrange(3) :] + after))
+    texts += ["a " * 200, "b " + "a " * 90 + "c", "a b " * 100, "x a b " * 40 + "y", " ".join(passage), "  ".join(passage[:36]), " ".join(passage * 2), "a " * 34, "a " * 35]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for window in (35, 3, 1):
+        _same(substrings.deduplicated(df, window=window, segment=2000), list(_without_repeats(rows, window)))
+
+
+def test_recompression():
+    """A symbol inside a window, its domain and place are the same wherever the window occurs; every window has an anchor."""
+    r = random.Random(22)
+    word = lambda: f"w{r.randrange(20)}"
+    passage = [word() for _ in range(30)] + ["a"] * 9 + [word() for _ in range(30)]
+    seen = []
+    for _ in range(20):
+        before = [word() for _ in range(r.randrange(30))]
+        view = substrings._view([" ".join([*before, *passage, *(word() for _ in range(r.randrange(30)))]), "z"])
+        a, at = substrings.anchors(view, 35), len(before)
+        of = np.full(len(view.symbols), -1)
+        for which, first, last in zip(a.which, a.first, a.last, strict=True):
+            of[first : last + 1] = which
+        assert (of[: int(view.ends[0]) - 34] >= 0).all()
+        seen.append([(int(a.name[of[s]]), int(a.at[of[s]]) - at) for s in range(at, at + len(passage) - 34)])
+    assert all(x == seen[0] for x in seen)
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 3000])
+def test_suffixes_hot(spark, shard):
+    """A passage in every document, with other bytes around it, over many segments and shards."""
+    r = random.Random(23)
+    line = lambda n: "".join(r.choice("abc de") for _ in range(n))
+    passage = line(260)
+    rows = [(i, line(r.randrange(150)) + passage[r.randrange(5) :] + line(r.randrange(150))) for i in range(80)] + [(100, "ab" * 400), (101, "c" * 500), (102, passage)]
+    seen = collections.Counter(t[k : k + 200] for _, t in rows for k in range(len(t) - 199))
+    want = []
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for k in range(len(t) - 199):
+            if seen[t[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        want.append((i, len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), "".join(x for x, g in zip(t, gone, strict=True) if not g).encode()))
+    _same(suffixes.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shard=shard, segment=3000), want)
+
+
 def test_toxicity(spark, empty):
     r = random.Random(7)
     plain = [f"w{i}" for i in range(200)]

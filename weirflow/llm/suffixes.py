@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm.repeats import Corpus, Hashes, Shape, covered, marked, note, segments
+from weirflow.llm.repeats import Corpus, Segment, Shape, View, covered, dealt, minimisers, note, runs_of, segments
 from weirflow.llm.shared import Scratch
 
 WINDOW = 200
@@ -123,27 +124,39 @@ def repeats_in(contents: list[bytes], window: int) -> np.ndarray:
 
 
 class _Merged:
-    """Sorted windows of the shards so far of one anchor."""
+    """Sorted windows of the shards so far of one anchor, in runs that at least double, so that taking in a shard is cheap."""
 
     def __init__(self):
-        self.key = np.zeros(0, np.uint64)
-        self.segment, self.pos, self.told = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+        self.runs: list[list[np.ndarray]] = []
 
     def add(self, key, segment, pos, told):
         """Take in a shard's windows; returns (segment, pos) of the windows now known to repeat."""
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((key[:, 1], key[:, 0]))
         key, segment, pos, told = key[order], segment[order], pos[order], told[order]
-        i = np.searchsorted(self.key, key)
-        hit = i < len(self.key)
-        hit[hit] = self.key[i[hit]] == key[hit]
-        news = np.unique(i[hit])
-        old = news[~self.told[news]]
-        self.told[old] = True
-        found = np.r_[segment[hit & ~told], self.segment[old]], np.r_[pos[hit & ~told], self.pos[old]]
-        fresh = ~hit & np.r_[True, key[1:] != key[:-1]]
-        at = i[fresh]
-        self.key, self.segment, self.pos, self.told = (np.insert(a, at, b[fresh]) for a, b in ((self.key, key), (self.segment, segment), (self.pos, pos), (self.told, told)))
-        return found
+        found, known = [], np.zeros(len(key), bool)
+        packed = _sortable(key)
+        for run in self.runs:
+            i = np.minimum(np.searchsorted(run[0], packed), len(run[0]) - 1)
+            hit = run[0][i] == packed
+            old = np.unique(i[hit & ~run[3][i]])
+            run[3][old] = True
+            found.append((run[1][old], run[2][old]))
+            known |= hit
+        found.append((segment[known & ~told], pos[known & ~told]))
+        fresh = ~known & np.r_[True, packed[1:] != packed[:-1]]
+        if fresh.any():
+            self.runs.append([packed[fresh], segment[fresh], pos[fresh], told[fresh]])
+            while len(self.runs) > 1 and len(self.runs[-2][0]) < 2 * len(self.runs[-1][0]):
+                x, y = self.runs.pop(), self.runs.pop()
+                joined = [np.concatenate(c) for c in zip(y, x, strict=True)]
+                order = np.argsort(joined[0], kind="stable")
+                self.runs.append([c[order] for c in joined])
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _sortable(key: np.ndarray) -> np.ndarray:
+    """Digests as values of 16 bytes that numpy sorts and searches."""
+    return np.ascontiguousarray(key.astype(">u8")).view("S16").ravel() if len(key) else np.zeros(0, "S16")
 
 
 def _sharded(window: int, shard: int):
@@ -169,19 +182,23 @@ def _sharded(window: int, shard: int):
             who = np.repeat(np.arange(len(held)), n)
             offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             where = base[which][who] + offset
-            pos, told = (first[who] + offset).astype(np.int32), starts[where]
+            pos, told = first[who] + offset, starts[where]
             out = [(segment[who][told], pos[told])]
             last = int(names[-1])
+            data = b"".join(contents)
             for name in dict.fromkeys([int(names[0])] * (int(names[0]) == of_name) + [last] * goes_on):
                 if name != of_name:
                     merged, of_name = _Merged(), name
                 on = np.flatnonzero(names[who] == name)
-                key = Hashes(np.frombuffer(b"".join(contents), np.uint8).astype(np.uint64) + np.uint64(1)).of(where[on], where[on] + window)
+                key = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[i : i + window]) for i in where[on].tolist()]), np.uint64).reshape(-1, 2)
                 out.append(merged.add(key, segment[who[on]], pos[on], told[on]))
             if not goes_on:
                 of_name = None
             s, p = (np.concatenate(x) for x in zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(s), pa.array(p.astype(np.int32))], names=["segment", "pos"])
+            order = np.lexsort((p, s))
+            s, p = s[order], p[order]
+            new = np.flatnonzero(np.r_[np.ones(min(1, len(s)), bool), (s[1:] != s[:-1]) | (p[1:] > p[:-1] + 1)])
+            return pa.RecordBatch.from_arrays([pa.array(s[new]), pa.array(p[new].astype(np.int32)), pa.array(p[np.r_[new[1:], len(s)] - 1].astype(np.int32) if len(s) else p.astype(np.int32))], names=["segment", "first", "last"])
 
         for b in batches:
             for name, segment, first, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -196,69 +213,52 @@ def _sharded(window: int, shard: int):
     return run
 
 
-def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _view(texts: list[str]) -> View:
     data = [t.encode("utf-8", "surrogatepass") for t in texts]
-    return np.frombuffer(b"".join(data), np.uint8).astype(np.uint64) + np.uint64(1), np.cumsum([len(x) for x in data])
+    joined, ends = b"".join(data), np.cumsum([len(x) for x in data])
+    return View(joined, np.arange(len(joined) + 1), np.r_[0, ends[:-1]], ends, np.frombuffer(joined, np.uint8).astype(np.uint64) + np.uint64(1))
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard: int = SHARD, scratch: Scratch | None = None) -> DataFrame:
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard: int = SHARD, scratch: Scratch | None = None, segment: int = SEGMENT) -> DataFrame:
     """``(id_col, n_bytes, n_removed, n_spans, kept)`` per row; kept is the remaining UTF-8 bytes (binary).
 
     A byte goes if a string of ``window`` bytes of its text that covers it starts anywhere else too, in
     the same text or another, overlaps included; strings are judged on the input. NULL and empty texts have
     no bytes; rows that repeat a text lose it all if it is long enough; an empty table gives an empty result;
-    other columns are ignored.
+    other columns are ignored. A very long text is a segment of its own.
     """
     scratch = scratch or Scratch(df.sparkSession, "suffixes")
     kind = dict(df.dtypes)[id_col]
-    shape = Shape(_bytes, window, min(ANCHOR, max(1, window // 2)))
-    corpus = Corpus(segments(df, scratch, id_col, text_col, SEGMENT), scratch, shape)
+    k = min(ANCHOR, max(1, window // 2))
+    shape = Shape(_view, window, lambda view: minimisers(view, window, k))
+    corpus = Corpus(segments(df, scratch, shape, id_col, text_col, segment), scratch)
     marks = corpus.repeated_anchors()
-    k = shape.k
 
-    def contested(segment, ids, texts, notes):
-        if not (notes["mark"] & 2).any():
+    def contested(s: Segment) -> Iterator[pa.RecordBatch]:
+        on = s.contested()
+        if not len(on):
             return
-        _, _, hashes, _, ranges = marked(shape, texts, notes)
-        data = b"".join(t.encode("utf-8", "surrogatepass") for t in texts)
-        # the windows of a range share their anchor: name them by the least hash of their common k-grams
-        first, last = ranges[:, 0], ranges[:, 1]
-        at = _anchor_of(hashes, first, window, k)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hashes.of(at, at + k).view(np.int64)), pa.array(np.full(len(at), segment)), pa.array(first.astype(np.int32)), pa.array([data[a : b + window] for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())],
-            names=["name", "segment", "first", "content"],
-        )
-
-    rows = corpus.each(contested, "name bigint, segment bigint, first int, content binary", folders=(marks,))
-    windows = note(rows.repartition("name").sortWithinPartitions("name").mapInArrow(_sharded(window, shard), "segment bigint, pos int"), scratch, "windows")
-
-    def keep(segment, ids, texts, notes, more):
-        data = [t.encode("utf-8", "surrogatepass") for t in texts]
+        first, last = s.first[on], s.last[on]
+        data = b"".join(t.encode("utf-8", "surrogatepass") for t in s.texts)
+        contents = [data[a : b + window] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(s.name[on]), pa.array(np.full(len(first), s.number)), pa.array(first.astype(np.int32)), pa.array(contents, pa.binary())], names=["name", "segment", "first", "content"])
+
+    rows = corpus.each(marks, contested, "name bigint, segment bigint, first int, content binary", names=True)
+    windows = note(dealt(rows, "name").mapInArrow(_sharded(window, shard), "segment bigint, first int, last int"), scratch, "windows")
+
+    def keep(s: Segment, more: dict) -> Iterator[pa.RecordBatch]:
+        data = [t.encode("utf-8", "surrogatepass") for t in s.texts]
         ends = np.cumsum([len(x) for x in data])
-        n = int(ends[-1])
-        gone = np.zeros(n, bool)
-        if len(notes["pos"]):
-            _, _, _, whole, _ = marked(shape, texts, notes)
-            gone = covered(np.concatenate([whole, more["pos"]]).astype(np.int64), window, n)
+        gone = covered(np.r_[s.repeating(), runs_of(more["first"].astype(np.int64), more["last"].astype(np.int64))], window, int(ends[-1]))
         removed, spans, kept = [], [], []
         for x, end in zip(data, ends, strict=True):
             g = gone[end - len(x) : end]
             removed.append(int(g.sum()))
             spans.append(int((g[1:] & ~g[:-1]).sum() + g[:1].sum()))
             kept.append(np.frombuffer(x, np.uint8)[~g].tobytes() if removed[-1] else x)
-        yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in data], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays([s.ids, pa.array([len(x) for x in data], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return corpus.each(keep, f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary", folders=(marks, windows))
-
-
-def _anchor_of(hashes: Hashes, first: np.ndarray, window: int, k: int) -> np.ndarray:
-    """The anchor of the windows that start at ``first``."""
-    out = np.empty(len(first), np.int64)
-    for lo in range(0, len(first), 4096):
-        at = first[lo : lo + 4096, None] + np.arange(window - k + 1)[None, :]
-        value = hashes.of(at.ravel(), at.ravel() + k).reshape(at.shape) & np.uint64(0xFFFFFFFF00000000)
-        out[lo : lo + 4096] = first[lo : lo + 4096] + np.argmin(value, axis=1)
-    return out
+    return corpus.each(marks, keep, f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary", folders=(windows,))
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
