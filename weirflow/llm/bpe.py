@@ -31,6 +31,8 @@ from weirflow.llm.shared import Scratch, filesystem, small_batches
 
 #: Characters of text in a chunk (a longer text is a chunk of its own).
 CHUNK = 32 << 20
+#: Bits for the number of a word in its chunk.
+BITS = 28
 #: Buckets of the rank literal.
 BUCKETS = 1 << 17
 #: Words that are put together at a time.
@@ -121,7 +123,7 @@ def decode(df: DataFrame, rank_file: str, ids_col: str = "ids", out_col: str = "
 def _packed(columns: dict[str, pa.Array]) -> bytes:
     sink = pa.BufferOutputStream()
     batch = pa.RecordBatch.from_pydict(columns)
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -153,9 +155,10 @@ def numbers_of(planes_: list[bytes]) -> np.ndarray:
 
 
 def cut_words(df: DataFrame, pattern: str, scratch: Scratch, id_col: str, text_col: str, chunk: int) -> DataFrame:
-    """Staged ``(chunk, k, word, payload)``: a row per distinct word of a chunk, and per chunk one with k -1, an empty word and what else the chunk has: ids, words per text, words in order.
+    """Staged ``(at, words, payload)``: per chunk a row with what else it has (ids, words per text, words in order), and rows of its distinct words.
 
-    Words are those of ``pattern``, its classes as tiktoken has them.
+    The first has the chunk's number, a multiple of ``2 ** BITS``, as ``at``; the words are counted on from there, ``at`` being the number before a row's
+    first word. Words are those of ``pattern``, its classes as tiktoken has them.
     """
     small_batches(df.sparkSession)
     ranges = cutting.tiktoken_classes()
@@ -163,7 +166,7 @@ def cut_words(df: DataFrame, pattern: str, scratch: Scratch, id_col: str, text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 40
         ids, texts, size, kind = [], [], 0, None
 
         def done():
@@ -171,16 +174,18 @@ def cut_words(df: DataFrame, pattern: str, scratch: Scratch, id_col: str, text_c
                 words, codes, counts = cutting.cut(texts, cutting.table_of(ranges))
             else:
                 words, codes, counts = cutting.cut_by(texts, finder(pattern, ranges))
+            if len(words) >= 1 << BITS:
+                raise OverflowError("too many distinct words in a text")
             # frequent words get small numbers
             order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
             number_of = np.empty(len(words), np.int32)
             number_of[order] = np.arange(len(words), dtype=np.int32)
             words, codes = words.take(pa.array(order)), number_of[codes]
             payload = _packed({"ids": pa.array([ids], pa.list_(kind)), "counts": pa.array([counts.astype(np.int32)]), "codes": pa.array([planes(codes)], pa.list_(pa.binary()))})
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), pa.array([b""]), pa.array([payload])], names=["chunk", "k", "word", "payload"])
-            for at in range(0, len(words), 1 << 16):
-                part = words.slice(at, 1 << 16)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part.cast(pa.binary()), pa.nulls(len(part), pa.binary())], names=["chunk", "k", "word", "payload"])
+            parts = [words.slice(at, 1 << 15).cast(pa.binary()) for at in range(0, len(words), 1 << 15)]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([None], pa.list_(pa.binary())), pa.array([payload])], names=["at", "words", "payload"])
+            for i, part in enumerate(parts):
+                yield pa.RecordBatch.from_arrays([pa.array([number + 1 + (i << 15)]), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), pa.nulls(1, pa.binary())], names=["at", "words", "payload"])
 
         for b in batches:
             kind = b.schema.field(0).type
@@ -188,7 +193,7 @@ def cut_words(df: DataFrame, pattern: str, scratch: Scratch, id_col: str, text_c
                 text = text or ""
                 if ids and size + len(text) > chunk:
                     yield from done()
-                    number, ids, texts, size = number + 1, [], [], 0
+                    number, ids, texts, size = number + (1 << BITS), [], [], 0
                 ids.append(id_)
                 texts.append(text)
                 size += len(text)
@@ -196,7 +201,7 @@ def cut_words(df: DataFrame, pattern: str, scratch: Scratch, id_col: str, text_c
             yield from done()
 
     source = df.select(f"`{id_col}`", F.col(f"`{text_col}`").cast("string").alias("text"))
-    return scratch.stage(source.mapInArrow(run, "chunk bigint, k int, word binary, payload binary"), "words")
+    return scratch.stage(source.mapInArrow(run, "at bigint, words array<binary>, payload binary"), "words")
 
 
 def finder(pattern: str, ranges):
@@ -225,15 +230,17 @@ def finder(pattern: str, ranges):
 
 
 def _coded(df: DataFrame, rank_file: str, pattern: str, scratch: Scratch, id_col: str, text_col: str, chunk: int) -> DataFrame:
-    """``(chunk, k, path, ids, decoded)``: the rows of :func:`cut_words` with the ids of each word and what these decode to; a chunk's payload is in the file ``path``. A chunk's rows are together and in order."""
-    words = cut_words(df, pattern, scratch, id_col, text_col, chunk)
-    rows = words.select("chunk", "k", "word", F.when(F.col("k") < 0, F.col("_metadata.file_path")).alias("path"))
+    """``(at, path, ids, decoded)``: each chunk's words by their numbers, with their ids and what these decode to, after a row for the chunk itself, whose payload is in the file ``path``. A chunk's rows are together and in order."""
+    cut = cut_words(df, pattern, scratch, id_col, text_col, chunk)
+    words = cut.where("words is not null").select("at", F.posexplode("words").alias("k", "word")).select((F.col("at") + F.col("k")).alias("at"), "word")
     # a word's rows are next to each other: the first is folded, and what it gives goes on to the others
-    same = Window.partitionBy("word").orderBy("chunk", "k")
-    first = folded(rows.withColumn("nth", F.row_number().over(same)), "word", rank_file, "ids", "nth = 1")
+    same = Window.partitionBy("word").orderBy("at")
+    first = folded(words.withColumn("nth", F.row_number().over(same)), "word", rank_file, "ids", "nth = 1")
     on = same.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ids = first.select("chunk", "k", "path", F.first("ids", ignorenulls=True).over(on).alias("ids"))
-    return decode(ids.repartition("chunk").sortWithinPartitions("chunk", "k"), rank_file)
+    ids = first.select("at", F.lit(None).cast("string").alias("path"), F.first("ids", ignorenulls=True).over(on).alias("ids"))
+    chunks = cut.where("words is null").select("at", F.col("_metadata.file_path").alias("path"), F.lit(None).cast("array<int>").alias("ids"))
+    rows = ids.unionByName(chunks)
+    return decode(rows.repartition(F.shiftright("at", BITS)).sortWithinPartitions("at"), rank_file)
 
 
 def _payload(path: str, chunk: int) -> pa.RecordBatch:
@@ -241,30 +248,30 @@ def _payload(path: str, chunk: int) -> pa.RecordBatch:
 
     fs, at = filesystem(path)
     with fs.open_input_file(at) as f:
-        table = pq.read_table(f, columns=["payload"], filters=[("chunk", "=", chunk), ("k", "=", -1)])
+        table = pq.read_table(f, columns=["payload"], filters=[("at", "=", chunk)])
     return _unpacked(table.column(0)[0].as_py())
 
 
 def _texts(batches: Iterator[pa.RecordBatch]):
-    """``(ids, counts, codes, ids of the words, decoded words)`` of each chunk; the rows are sorted by chunk and k."""
+    """``(ids, counts, codes, ids of the words, decoded words)`` of each chunk."""
     chunk, payload, ids, words = None, None, [], []
 
     def done():
-        x = _payload(payload, chunk)
+        x = _payload(payload, chunk << BITS)
         empty = pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary())
         return x.column(0).flatten(), x.column(1)[0].values.to_numpy(), numbers_of(x.column(2)[0].as_py()), pa.concat_arrays(ids) if ids else empty[0], pa.concat_arrays(words) if words else empty[1]
 
     for b in batches:
-        of = b.column(0).to_numpy()
+        of = b.column(0).to_numpy() >> BITS
         cuts = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)] if len(of) else np.zeros(1, np.int64)
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if of[lo] != chunk:
                 if chunk is not None:
                     yield done()
-                chunk, payload, ids, words = int(of[lo]), b.column(2)[lo].as_py(), [], []
+                chunk, payload, ids, words = int(of[lo]), b.column(1)[lo].as_py(), [], []
                 lo += 1
-            ids.append(b.column(3).slice(lo, hi - lo))
-            words.append(b.column(4).slice(lo, hi - lo))
+            ids.append(b.column(2).slice(lo, hi - lo))
+            words.append(b.column(3).slice(lo, hi - lo))
     if chunk is not None:
         yield done()
 
