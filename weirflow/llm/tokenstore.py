@@ -104,7 +104,7 @@ class Encoder:
     """
 
     #: Bytes (about) of words and ids that are remembered; then all are forgotten.
-    BYTES = 96 << 20
+    BYTES = 72 << 20
     #: What an entry takes besides its characters and ids.
     ENTRY = 200
 
@@ -201,7 +201,7 @@ def write_store(df: DataFrame, tokenizer_path: str, scratch: Scratch, id_col: st
     columns are ignored. Very long texts are encoded whole; memory is that of a batch of texts and of a pack's addresses.
     """
     # texts of one batch share what they have of words
-    small_batches(df.sparkSession, 4096)
+    small_batches(df.sparkSession, 2560)
     kind = dict(df.dtypes)[id_col]
     dtype = "<u2" if tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
     width = np.dtype(dtype).itemsize
