@@ -4,7 +4,7 @@ Tasks cut texts into the words of the tokenizer's pattern, in chunks of some MB,
 rows and the order of all its words as numbers. The words are shuffled by themselves, and each distinct word of
 the whole corpus is folded once, as bytes: every stretch of it that a token spells is a merge that may come, and a fold over these,
 in the order of their ranks and places, joins a stretch if it is two pieces then. The ranks are a literal in the plan, by hash.
-Ids go back to the chunks, where each text's ids are put together.
+Ids go back to the chunks, where each text's ids are put together; decoding puts the pieces of the ids together.
 
 The fold is the ranked merging of pairs, given that every token of a rank file is what merging its own bytes gives with no rank above
 its own (``load_ranks`` asserts this): then a merge never makes a pair of lower rank, so merges come in the order of ranks, and a pair of
@@ -67,12 +67,18 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
+def width_of(ranks: dict[bytes, int]) -> int:
+    """Bytes in which an id is packed."""
+    return 2 if max(ranks.values()) < 1 << 16 else 4
+
+
 def _literal(ranks: dict[bytes, int]) -> Column:
-    """The ranks as buckets of ``(b, r)`` by the hash of b."""
+    """The ranks as buckets of ``(b, r, h)`` by the hash of b; h is r in hexadecimal."""
     buckets: list[list[dict]] = [[] for _ in range(BUCKETS)]
+    digits = 2 * width_of(ranks)
     for b, r in ranks.items():
-        buckets[xxhash.xxh64_intdigest(b, 42) & (BUCKETS - 1)].append({"b": base64.b64encode(b).decode(), "r": r})
-    return F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<b:binary,r:int>>>")
+        buckets[xxhash.xxh64_intdigest(b, 42) & (BUCKETS - 1)].append({"b": base64.b64encode(b).decode(), "r": r, "h": f"{r:0{digits}x}"})
+    return F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<b:binary,r:int,h:string>>>")
 
 
 def _spellings(rank_file: str) -> Column:
@@ -86,12 +92,12 @@ def _found(piece: str, value: str) -> str:
 
 
 def fold_sql(longest: int) -> str:
-    """SQL of the ids of one word ``w`` (binary, not empty) by the literal ``ranks``, whose longest token has ``longest`` bytes.
+    """SQL of the packed ids of one word ``w`` (binary, not empty) by the literal ``ranks``, whose longest token has ``longest`` bytes.
 
     A merge that may come is one long: rank, place and length. The state has a byte 1 where a piece begins, and
     one at the end, else 0.
     """
-    merges = f"transform(sequence(2, least({longest}, length(w) - i)), l -> {_found('substring(w, i + 1, l)', 'shiftleft(cast(e.r as bigint), 40) | shiftleft(cast(i as bigint), 8) | l')})"
+    merges = f"transform(sequence(2, least({longest}, length(w) - i)), l -> {_found('substring(w, i + 1, l)', "shiftleft(cast(e.r as bigint), 40) | shiftleft(cast(i as bigint), 8) | l")})"
     ordered = f"if(length(w) < 2, cast(array() as array<bigint>), sort_array(flatten(transform(sequence(0, length(w) - 2), i -> flatten({merges})))))"
     at, size = "cast(shiftright(c, 8) & 4294967295 as int)", "cast(c & 255 as int)"
     one = "X'31'"
@@ -100,16 +106,16 @@ def fold_sql(longest: int) -> str:
     state = f"aggregate({ordered}, cast(repeat('1', length(w) + 1) as binary), (s, c) -> {step})"
     starts = f"transform(array({state}), s -> filter(sequence(0, length(w) - 1), i -> substring(s, i + 1, 1) = {one}))[0]"
     piece = "substring(w, i + 1, coalesce(get(a, k + 1), length(w)) - i)"
-    return f"transform(array({starts}), a -> flatten(transform(a, (i, k) -> {_found(piece, 'e.r')})))[0]"
+    return f"transform(array({starts}), a -> unhex(array_join(flatten(transform(a, (i, k) -> {_found(piece, 'e.h')})), '')))[0]"
 
 
 def folded(df: DataFrame, word: str, rank_file: str, out: str, when: str = "true") -> DataFrame:
-    """``df`` with the ids of the binary column ``word``, an ``array<int>``, where ``when`` holds; no ids for an empty word."""
+    """``df`` with the ids of the binary column ``word`` where ``when`` holds, packed as big-endian integers of ``width_of`` bytes."""
     ranks = load_ranks(rank_file)
     # the literal stands under one name, so that the plan holds it once
     bound = df.withColumn("__ranks", F.array(_literal(ranks)))
     ids = f"transform(__ranks, ranks -> transform(array({word}), w -> {fold_sql(max(map(len, ranks)))})[0])[0]"
-    return bound.withColumn(out, F.expr(f"case when {when} then if(length({word}) = 0, cast(array() as array<int>), {ids}) end")).drop("__ranks")
+    return bound.withColumn(out, F.expr(f"case when {when} then if(length({word}) = 0, X'', {ids}) end")).drop("__ranks")
 
 
 def decode(df: DataFrame, rank_file: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -230,7 +236,7 @@ def finder(pattern: str, ranges):
 
 
 def _coded(df: DataFrame, rank_file: str, pattern: str, scratch: Scratch, id_col: str, text_col: str, chunk: int) -> DataFrame:
-    """``(at, path, ids, decoded)``: each chunk's words by their numbers, with their ids and what these decode to, after a row for the chunk itself, whose payload is in the file ``path``. A chunk's rows are together and in order."""
+    """``(at, path, ids)``: each chunk's words by their numbers, with their packed ids, after a row for the chunk itself, whose payload is in the file ``path``. A chunk's rows are together and in order."""
     cut = cut_words(df, pattern, scratch, id_col, text_col, chunk)
     words = cut.where("words is not null").select("at", F.posexplode("words").alias("k", "word")).select((F.col("at") + F.col("k")).alias("at"), "word")
     # a word's rows are next to each other: the first is folded, and what it gives goes on to the others
@@ -238,9 +244,8 @@ def _coded(df: DataFrame, rank_file: str, pattern: str, scratch: Scratch, id_col
     first = folded(words.withColumn("nth", F.row_number().over(same)), "word", rank_file, "ids", "nth = 1")
     on = same.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ids = first.select("at", F.lit(None).cast("string").alias("path"), F.first("ids", ignorenulls=True).over(on).alias("ids"))
-    chunks = cut.where("words is null").select("at", F.col("_metadata.file_path").alias("path"), F.lit(None).cast("array<int>").alias("ids"))
-    rows = ids.unionByName(chunks)
-    return decode(rows.repartition(F.shiftright("at", BITS)).sortWithinPartitions("at"), rank_file)
+    chunks = cut.where("words is null").select("at", F.col("_metadata.file_path").alias("path"), F.lit(None).cast("binary").alias("ids"))
+    return ids.unionByName(chunks).repartition(F.shiftright("at", BITS)).sortWithinPartitions("at")
 
 
 def _payload(path: str, chunk: int) -> pa.RecordBatch:
@@ -252,14 +257,14 @@ def _payload(path: str, chunk: int) -> pa.RecordBatch:
     return _unpacked(table.column(0)[0].as_py())
 
 
-def _texts(batches: Iterator[pa.RecordBatch]):
-    """``(ids, counts, codes, ids of the words, decoded words)`` of each chunk."""
-    chunk, payload, ids, words = None, None, [], []
+def _texts(batches: Iterator[pa.RecordBatch], width: int):
+    """``(ids, counts, codes, ids of the words one after another, how many each has)`` of each chunk."""
+    chunk, payload, parts, sizes = None, None, [], []
 
     def done():
         x = _payload(payload, chunk << BITS)
-        empty = pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary())
-        return x.column(0).flatten(), x.column(1)[0].values.to_numpy(), numbers_of(x.column(2)[0].as_py()), pa.concat_arrays(ids) if ids else empty[0], pa.concat_arrays(words) if words else empty[1]
+        flat = np.frombuffer(b"".join(parts), f">u{width}").astype(np.int32)
+        return x.column(0).flatten(), x.column(1)[0].values.to_numpy(), numbers_of(x.column(2)[0].as_py()), flat, np.concatenate([np.zeros(0, np.int64), *sizes])
 
     for b in batches:
         of = b.column(0).to_numpy() >> BITS
@@ -268,10 +273,13 @@ def _texts(batches: Iterator[pa.RecordBatch]):
             if of[lo] != chunk:
                 if chunk is not None:
                     yield done()
-                chunk, payload, ids, words = int(of[lo]), b.column(1)[lo].as_py(), [], []
+                chunk, payload, parts, sizes = int(of[lo]), b.column(1)[lo].as_py(), [], []
                 lo += 1
-            ids.append(b.column(2).slice(lo, hi - lo))
-            words.append(b.column(3).slice(lo, hi - lo))
+            own = b.column(2).slice(lo, hi - lo)
+            if len(own):
+                at = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1].astype(np.int64)
+                parts.append(own.buffers()[2][at[0] : at[-1]].to_pybytes() if at[-1] > at[0] else b"")
+                sizes.append(np.diff(at) // width)
     if chunk is not None:
         yield done()
 
@@ -293,12 +301,11 @@ def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
     empty result; other columns are ignored. A long run without a break is one word and is folded as such.
     """
     scratch = scratch or Scratch(df.sparkSession, "bpe")
-    kind = dict(df.dtypes)[id_col]
+    kind, width = dict(df.dtypes)[id_col], width_of(load_ranks(rank_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, counts, codes, ids, _ in _texts(batches):
-            flat, offsets = ids.flatten().to_numpy(), ids.offsets.to_numpy().astype(np.int64)
-            start, size = offsets[:-1] - offsets[0], np.diff(offsets)
+        for own, counts, codes, flat, size in _texts(batches, width):
+            start = np.cumsum(size) - size
             for lo, hi, a, b in _groups(counts):
                 c = codes[a:b]
                 n = size[c]
@@ -315,23 +322,25 @@ def encode_digests(df: DataFrame, rank_file: str, pattern: str, id_col: str = "d
     ids_sha256 is of the decimal ids, joined by one space, decoded_sha256 of the bytes that the ids decode to.
     """
     scratch = scratch or Scratch(df.sparkSession, "bpe")
-    kind = dict(df.dtypes)[id_col]
+    kind, width = dict(df.dtypes)[id_col], width_of(load_ranks(rank_file))
+
+    def joined(parts: pa.Array, counts: np.ndarray, between: bytes) -> pa.Array:
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), parts), between)
 
-    def digests(words: pa.Array, counts: np.ndarray, between: bytes) -> list[str]:
-        parts = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), words)
-        joined = pc.binary_join(parts, between)
-        data, at = memoryview(joined.buffers()[2] or b""), np.frombuffer(joined.buffers()[1], np.int32)[: len(counts) + 1].tolist()
+    def digests(texts: pa.Array) -> list[str]:
+        data, at = memoryview(texts.buffers()[2] or b""), np.frombuffer(texts.buffers()[1], np.int32)[: len(texts) + 1].tolist()
         return [hashlib.sha256(data[x:y]).hexdigest() for x, y in zip(at[:-1], at[1:], strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, counts, codes, ids, decoded in _texts(batches):
-            size = pc.list_value_length(ids).to_numpy().astype(np.int64)
-            told = pc.binary_join(ids.cast(pa.list_(pa.string())), " ").cast(pa.binary())
+        pieces = pa.array(pieces_of(rank_file), pa.binary())
+        names = pa.array([b"%d" % i for i in range(len(pieces))], pa.binary())
+        for own, counts, codes, flat, size in _texts(batches, width):
+            told, decoded = (joined(x.take(pa.array(flat)), size, between) for x, between in ((names, b" "), (pieces, b"")))
             for lo, hi, a, b in _groups(counts):
                 c = pa.array(codes[a:b])
                 n = np.add.reduceat(np.r_[size[codes[a:b]], 0], np.minimum(np.r_[0, np.cumsum(counts[lo:hi])[:-1]], b - a)) * (counts[lo:hi] > 0)
                 yield pa.RecordBatch.from_arrays(
-                    [own.slice(lo, hi - lo), pa.array(n), pa.array(digests(told.take(c), counts[lo:hi], b" ")), pa.array(digests(decoded.take(c), counts[lo:hi], b""))],
+                    [own.slice(lo, hi - lo), pa.array(n), pa.array(digests(joined(told.take(c), counts[lo:hi], b" "))), pa.array(digests(joined(decoded.take(c), counts[lo:hi], b"")))],
                     names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
