@@ -11,13 +11,13 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,53 +101,60 @@ def fit(texts: list[str | None], labels: list[int], min_texts: int = MIN_TEXTS,
     labelled toxic by mistake: the fit has a share of such labels as a parameter, which the score leaves out. A group
     of copies counts once: rows of equal texts and labels are one.
     """
-    bags, y, seen = [], [], set()
+    number: dict[str, int] = {}
+    tokens, sizes, text_of, y, seen = [], [], [], [], set()
     for text, label in zip(texts, labels, strict=True):
-        if (key := (text, label)) in seen or not (bag := [set(s.lower().split()) for s in sentences(text)]):
+        found = sentences(text)
+        if not found or (key := (xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")), label)) in seen:
             continue
         seen.add(key)
-        bags.append(bag)
+        for s in found:
+            own = set(s.lower().split())
+            tokens.append(np.fromiter((number.setdefault(t, len(number)) for t in own), np.int32, len(own)))
+            sizes.append(len(own))
+            text_of.append(len(y))
         y.append(label)
     if not 0 < sum(y) < len(y):
         return NoisyOr()
-    known: dict[str, list[str]] = {}
-    count = [Counter(), Counter()]
-    for bag, label in zip(bags, y, strict=True):
-        tokens = set().union(*bag)
-        for t in tokens:
-            if t not in known:
-                known[t] = features(t)
-        count[label].update({f for t in tokens for f in known[t]})
-    bad, all_ = sum(y), len(y)
-
-    def parting(f: str) -> float:
-        b, n = count[1][f], count[0][f] + count[1][f]
-        return (b * all_ - n * bad) ** 2 / (n * max(all_ - n, 0.5))
-
-    enough = [f for f in count[1] if count[0][f] + count[1][f] >= min_texts]
-    screened = sorted(enough, key=lambda f: (-parting(f), f))[:most]
-    picked = [f for f, w in _weights(bags, y, known, screened, sparsity, rounds).items() if w > 0]
-    return NoisyOr(MOST_BIAS, {f: w for f, w in _weights(bags, y, known, picked, relaxed, 2 * rounds).items() if w})
-
-
-def _weights(bags: list[list[set[str]]], labels: list[int], known: dict[str, list[str]], chosen: list[str], sparsity: float, rounds: int) -> dict[str, float]:
-    """The weights of the ``chosen`` features; ``known`` has all features of a token."""
-    number = {f: i for i, f in enumerate(chosen)}
-    ids_of = {t: ids for t, fs in known.items() if (ids := [number[f] for f in fs if f in number])}
-    of_sentence, feature, of_text = [], [], []
-    for k, bag in enumerate(bags):
-        for s in bag:
-            at = len(of_text)
-            for t in s & ids_of.keys():
-                feature += ids_of[t]
-                of_sentence += [at] * len(ids_of[t])
-            if of_sentence and of_sentence[-1] == at:
-                of_text.append(k)
-    if not feature:
-        return {}
-    feature, of_sentence, of_text = np.array(feature), np.array(of_sentence), np.array(of_text)
-    y = np.array(labels, float)
-    theta, seen_g = np.zeros(len(number)), np.full(len(number), 1.0)
+    # by numbers: the tokens of all sentences, the features of all tokens (-1: none)
+    token, y = np.concatenate(tokens), np.array(y)
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    text_of = np.array(text_of)
+    names = list(number)
+    hashes = np.zeros((len(names), 1 + len(PREFIXES)), np.uint64)
+    for i, t in enumerate(names):
+        for j, f in enumerate(features(t)):
+            hashes[i, j] = xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) or 1
+    known, first, feature_of = np.unique(hashes.ravel(), return_index=True, return_inverse=True)
+    feature_of = feature_of.reshape(hashes.shape).astype(np.int32)
+    feature_of[hashes == 0] = -1
+    pairs = np.unique(text_of[sentence].astype(np.int64) * len(names) + token)
+    held = np.unique(np.concatenate([(pairs // len(names))[on] * len(known) + f[on] for f in feature_of.T[:, pairs % len(names)] for on in (f >= 0,)]))
+    n = np.bincount(held % len(known), minlength=len(known)).astype(float)
+    b = np.bincount(held % len(known), y[held // len(known)], len(known))
+    parting = (b * len(y) - n * y.sum()) ** 2 / np.maximum(n * np.maximum(len(y) - n, 0.5), 0.5)
+    enough = np.flatnonzero(n >= min_texts)
+    chosen = enough[np.lexsort((known[enough], -parting[enough]))][:most]
+
+    def solved(chosen: np.ndarray, sparsity: float, rounds: int) -> np.ndarray:
+        place = np.full(len(known) + 1, -1, np.int64)
+        place[chosen] = np.arange(len(chosen))
+        own = [(place[f], sentence) for f in feature_of.T[:, token]]
+        feature, of = (np.concatenate(x) for x in zip(*((f[f >= 0], s[f >= 0]) for f, s in own), strict=True))
+        used, of = np.unique(of, return_inverse=True)
+        return _weights(feature, of, text_of[used], y.astype(float), len(chosen), sparsity, rounds)
+
+    picked = chosen[solved(chosen, sparsity, rounds) > 0]
+    weights = solved(picked, relaxed, 2 * rounds)
+    width = hashes.shape[1]
+    return NoisyOr(MOST_BIAS, {features(names[first[f] // width])[first[f] % width]: float(w) for f, w in zip(picked, weights, strict=True) if w})
+
+
+def _weights(feature: np.ndarray, of_sentence: np.ndarray, of_text: np.ndarray, y: np.ndarray, n: int, sparsity: float, rounds: int) -> np.ndarray:
+    """The weights of ``n`` features; ``feature`` occurs in the sentences ``of_sentence``, which are in the texts ``of_text``."""
+    theta, seen_g = np.zeros(n), np.full(n, 1.0)
+    if not len(feature):
+        return theta
     wrong, seen_w = -3.0, 1.0
     plain = np.logaddexp(0, MOST_BIAS)
     for _ in range(rounds):
@@ -157,7 +164,7 @@ def _weights(bags: list[list[set[str]]], labels: list[int], known: dict[str, lis
         # d loss / d total: 1 for clean texts, -q / (1 - q) for toxic ones, q = exp(-total)
         slope = np.where(y > 0, -1 / np.expm1(np.clip(total, 1e-4, 700)), 1.0)
         g = np.where(on, slope[of_text] / (1 + np.exp(-(MOST_BIAS + z))), 0)
-        grad = np.bincount(feature, g[of_sentence], len(theta))
+        grad = np.bincount(feature, g[of_sentence], n)
         g_wrong = slope.sum() / (1 + np.exp(-wrong))
         seen_g += grad**2
         seen_w += g_wrong**2
@@ -165,7 +172,7 @@ def _weights(bags: list[list[set[str]]], labels: list[int], known: dict[str, lis
         theta -= step * grad
         theta = np.sign(theta) * np.maximum(np.abs(theta) - step * sparsity, 0)
         wrong -= 1.5 / np.sqrt(seen_w) * g_wrong
-    return {f: float(theta[i]) for f, i in number.items()}
+    return theta
 
 
 def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> NoisyOr:
