@@ -19,7 +19,7 @@ from weirflow.testing import Runner, contains_in_any_order, contains_in_order
 def test_statement_is_split():
     s = statement.parse("INSERT INTO a.b (x) SELECT x FROM sys.t.`$table` AS t JOIN (SELECT substring(y FROM 2) z FROM sys.u) ON 1 = 1;;")
     assert s.sink == "a.b" and s.sources == ("sys.t.$table", "sys.u")
-    for bad in ("SELECT 1", "INSERT INTO a VALUES (1)"):
+    for bad in ("SELECT 1", "INSERT INTO a DELETE FROM b"):
         with pytest.raises(statement.StatementError):
             statement.parse(bad)
 
@@ -33,8 +33,47 @@ def test_sql_file_and_json():
 
 def test_dialect_leaves_strings_alone():
     assert dialect.rewrite("select 'ARRAY[1] SIMILAR TO' -- ROW(1)") == "select 'ARRAY[1] SIMILAR TO' -- ROW(1)"
-    assert dialect.integer_division("a / b -- x / y") == "a  div  b -- x / y"
-    assert dialect.similar_to_regex("a%_[b%]") == "^(?:a.*.[b%])$"
+    assert dialect.divided("a * b / c + '/'", [(0, 8)]) == "a * b  div  c + '/'"
+    assert dialect.similar_to_regex("a%_[b%]") == "(?s)^(?:a.*.[b%])$"
+    assert dialect.similar_to_regex("a.c!%", "!") == r"(?s)^(?:a\.c%)$"
+
+
+def test_joins_are_found():
+    found = statement.joins("SELECT * FROM sys.a.`$table` x LEFT JOIN sys.b AS y ON x.k = y.k AND 1 = 1 JOIN sys.c ON y.k = sys.c.k WHERE 1 = 1")
+    assert found == [("sys.a.$table", "sys.b", "left", "x . k = y . k AND 1 = 1"), ("sys.a.$table", "sys.c", "inner", "y . k = sys . c . k")]
+    assert [x[:3] for x in statement.joins("SELECT * FROM a, b")] == [("a", "b", "cross")]
+
+
+def test_engine_rules(spark):
+    """Integer division by types, newlines in SIMILAR TO, one Flatten a SELECT, no third column of a name, carets, strict joins."""
+    from pyspark.errors import AnalysisException
+
+    c = Catalog()
+    c.add("s", Source(read=lambda s: s.createDataFrame([(7, 2, "a\nc", ["x"], ["y"])], "a int, b int, t string, l array<string>, m array<string>")))
+    engine = Engine(spark, c)
+    one = lambda sql: tuple(engine.query(sql).first())
+    assert one("SELECT a / b AS q, a / 2.0 AS r, -a / b * 2 AS u, (SELECT max(a / b) FROM s) AS v FROM s") == (3, 3.5, -6, 3)
+    assert one("SELECT t SIMILAR TO 'a_c' AS x, t SIMILAR TO 'a.c' AS y, TRUNCATE(0.29D, 2) AS z, TRUNCATE(-1.55D, 1) AS w, INITCAP('heLLo wORLD-foo') AS i FROM s") == (True, False, 0.29, -1.5, "Hello World-Foo")
+    with pytest.raises(dialect.DialectError):
+        engine.query("SELECT Flatten(l) AS x, Flatten(m) AS y FROM (SELECT * FROM s)")
+    assert engine.query("SELECT Flatten(x) AS y FROM (SELECT Flatten(ARRAY[l]) AS x FROM s)").first()[0] == "x"
+    with pytest.raises(dialect.DialectError):
+        engine.query("SELECT a, b AS a, 3 AS a FROM s")
+    with pytest.raises(AnalysisException) as e:
+        engine.query("SELECT nothing FROM s")
+    assert "^^^^^^^" in "".join(e.value.__notes__)
+    c.add("out", Source(write=lambda df: df))
+    assert Engine(spark, c).run("INSERT INTO out SELECT x.a FROM s x JOIN s y ON x.a = y.a").count() == 1
+    with pytest.raises(validate.ValidationError):
+        Engine(spark, c, strict=True).run("INSERT INTO out SELECT x.a FROM s x JOIN s y ON x.a = y.a")
+
+
+def test_updates_of_a_key(spark, tmp_path):
+    """Several updates of a key leave one row of it, by the greatest."""
+    table = LocalTable(spark, f"{tmp_path}/t", "k int, v int", ("k",))
+    table.put_all(spark.createDataFrame([(1, 1), (2, 2)], "k int, v int"))
+    table.update_all(spark.createDataFrame([(1, 5), (1, 9), (3, 7)], "k int, v int"))
+    assert sorted(map(tuple, table.read().collect())) == [(1, 9), (2, 2)]
 
 
 def test_flatten_rows(spark):

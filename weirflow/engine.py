@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +22,15 @@ class Engine:
     catalog: Catalog
     registry: Registry = field(default_factory=lambda: REGISTRY)
     check_output: bool = True
+    #: Whether only the joins of the strict mode are planned.
+    strict: bool = False
 
     def plan(self, sql: str) -> tuple[statement.Statement, DataFrame]:
         """The statement and its rows, not yet run."""
         s = statement.parse(sql)
+        if self.strict:
+            for left, right, how, condition in statement.joins(s.select):
+                validate.strict_join(self.catalog, left, right, how, condition)
         return s, self.query(s.select)
 
     def query(self, select: str) -> DataFrame:
@@ -35,7 +41,24 @@ class Engine:
             # a name may also be that of a common table expression
             if name.removesuffix(".$table") in self.catalog.entries:
                 self.catalog.frame(self.spark, name).createOrReplaceTempView(f"`{name}`")
-        return without_duplicates(self.spark.sql(dialect.rewrite(_functions(text))))
+        sql = dialect.rewrite(_functions(text))
+        df = self._analysed(sql)
+        if "/" in dialect.tokens(sql) and (spans := _integer_divisions(df)):
+            df = self._analysed(dialect.divided(sql, spans))
+        return without_duplicates(df)
+
+    def _analysed(self, sql: str) -> DataFrame:
+        """The rows of Spark SQL; an error tells where in it, by carets."""
+        try:
+            return self.spark.sql(sql)
+        except AnalysisException as e:
+            for c in e.getQueryContext():
+                if 0 <= c.startIndex() <= c.stopIndex() < len(sql):
+                    line = sql.count("\n", 0, c.startIndex()) + 1
+                    column = c.startIndex() - sql.rfind("\n", 0, c.startIndex())
+                    e.add_note(validate.underline(sql, line, column, column + c.stopIndex() - c.startIndex()))
+                    break
+            raise
 
     def run(self, sql: str) -> object:
         """Run one statement; gives what the sink's writer gives."""
@@ -65,9 +88,11 @@ class Engine:
 
 
 def without_duplicates(df: DataFrame) -> DataFrame:
-    """Of columns with one name the first stays."""
+    """Of two columns with one name the first stays; three are an error."""
     if len(set(df.columns)) == len(df.columns):
         return df
+    if worst := next((c for c in df.columns if df.columns.count(c) > 2), None):
+        raise dialect.DialectError(f"{worst} is selected more than twice")
     names = [f"{c}__{i}" for i, c in enumerate(df.columns)]
     first = {c: n for c, n in reversed(list(zip(df.columns, names, strict=True)))}
     return df.toDF(*names).select(*(F.col(f"`{first[c]}`").alias(c) for c in dict.fromkeys(df.columns)))
@@ -79,9 +104,60 @@ def tombstones(df: DataFrame) -> DataFrame:
     return df.select(KEY, ok.alias(OP))
 
 
+#: Types whose division truncates.
+_INTEGERS = frozenset("tinyint smallint int bigint".split())
+
+
+def _integer_divisions(df: DataFrame) -> list[tuple[int, int]]:
+    """First and last character, in the SQL, of every division of two integers."""
+    found = []
+
+    def listed(seq) -> list:
+        return [seq.apply(i) for i in range(seq.size())]
+
+    def walk_expression(e) -> None:
+        if e.nodeName() == "Divide":
+            # the analyser casts integers to doubles for a division; what it cast is of the types as written
+            sides = [c.child() if c.nodeName() == "Cast" else c for c in listed(e.children())]
+            at = e.origin()
+            if all(x.dataType().simpleString() in _INTEGERS for x in sides) and at.startIndex().isDefined():
+                found.append((int(at.startIndex().get()), int(at.stopIndex().get())))
+        for c in listed(e.children()):
+            walk_expression(c)
+        if hasattr(e, "plan") and e.nodeName().lower().endswith(("subquery", "exists")):
+            walk_plan(e.plan())
+
+    def walk_plan(p) -> None:
+        for e in listed(p.expressions()):
+            walk_expression(e)
+        for c in [*listed(p.children()), *(x for x in listed(p.innerChildren()) if hasattr(x, "expressions"))]:
+            walk_plan(c)
+
+    walk_plan(df._jdf.queryExecution().analyzed())
+    return found
+
+
+def _check_flattens(toks: list[str]) -> None:
+    """One Flatten a SELECT."""
+    counts = [0]
+    for i, t in enumerate(toks):
+        if t == "(":
+            counts.append(-1)
+        elif t == ")" and len(counts) > 1:
+            counts.pop()
+        elif t.upper() == "SELECT":
+            counts[-1] = 0
+        elif t.lower() == "flatten" and (nxt := dialect._solid(toks, i, 1)) < len(toks) and toks[nxt] == "(":
+            at = max(k for k, n in enumerate(counts) if n >= 0)
+            counts[at] += 1
+            if counts[at] > 1:
+                raise dialect.DialectError("one Flatten a SELECT")
+
+
 def _functions(sql: str) -> str:
     """Built-in functions of the dialect as Spark expressions."""
     toks = dialect.tokens(sql)
+    _check_flattens(toks)
     i = 0
     while i < len(toks):
         name = toks[i].lower()
@@ -102,10 +178,7 @@ def _functions(sql: str) -> str:
                 new = f"cast({new} as string)" if name == "getsqlfield" else new
             toks[i : end + 1] = [new]
         i += 1
-    out = "".join(toks)
-    if len(re.findall(r"\bexplode\(coalesce\(", out)) > 1 and " from (" not in out.lower():
-        raise dialect.DialectError("one Flatten a SELECT")
-    return out
+    return "".join(toks)
 
 
 def _walk(column: str, path: str) -> str:

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
@@ -105,10 +106,34 @@ class Registry:
         raise FunctionError(f"{name} does not take ({', '.join(kinds)})")
 
     def register(self, spark: SparkSession) -> None:
-        """Make the functions known to SQL: a name with overloads as name_type as well."""
+        """Make the functions known to SQL. Overloads that return one type share their name, the types of the arguments choose; each has a name with its types as well."""
         for name, found in self.functions.items():
-            for o in found:
-                spark.udf.register(name if len(found) == 1 else f"{name}_{'_'.join(o.params)}", F.pandas_udf(o.function, o.returns))
+            if len(found) > 1:
+                for o in found:
+                    spark.udf.register(f"{name}_{'_'.join(o.params)}", F.pandas_udf(o.function, o.returns))
+            if len(found) > 1 and len({o.returns for o in found}) == 1:
+                spark.udf.register(name, F.arrow_udf(_chosen(name, found), found[0].returns))
+            elif len(found) == 1:
+                spark.udf.register(name, F.pandas_udf(found[0].function, found[0].returns))
+
+
+#: Spark's names of types by those of Arrow.
+_NAMES = {"int64": "bigint", "int32": "int", "int16": "smallint", "int8": "tinyint", "double": "double", "float": "float", "string": "string", "large_string": "string", "bool": "boolean", "binary": "binary", "date32[day]": "date"}
+
+
+def _chosen(name: str, found: list[Overload]) -> Callable:
+    """A function over Arrow arrays that calls the overload for their types."""
+
+    def run(*arrays: pa.Array) -> pa.Array:
+        kinds = [_NAMES.get(str(a.type), str(a.type)) for a in arrays]
+        for o in found:
+            if len(o.params) == len(kinds) and (not o.checked or all(p in ("any", k) or {p, k} <= {"int", "bigint"} for p, k in zip(o.params, kinds, strict=True))):
+                return pa.Array.from_pandas(o.function(*(a.to_pandas() for a in arrays)))
+        raise FunctionError(f"{name} does not take ({', '.join(kinds)})")
+
+    # Spark tells by the hints that this is a function of arrays, and by its length how many there are
+    run.__annotations__ = {"arrays": pa.Array, "return": pa.Array}
+    return run
 
 
 REGISTRY = Registry()

@@ -26,16 +26,16 @@ class LocalTable:
         self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
 
     def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        """The file system and the folder in it."""
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:/") else f"file://{self.path}")
 
     def _current(self) -> str | None:
-        jvm, fs = self._fs()
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not fs.exists(folder):
-            return None
-        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        from pyarrow.fs import FileSelector
+
+        fs, folder = self._fs()
+        names = [f.base_name for f in fs.get_file_info(FileSelector(folder, allow_not_found=True))]
         done = sorted(n[len("_at-") :] for n in names if n.startswith("_at-"))
         return done[-1] if done else None
 
@@ -48,8 +48,8 @@ class LocalTable:
         version = (int(last.split("-")[0]) if last else 0) + 1
         name = f"{version:012d}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.path}/{name}")
-        jvm, fs = self._fs()
-        fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_at-{name}")).close()
+        fs, folder = self._fs()
+        fs.open_output_stream(f"{folder}/_at-{name}", compression=None).close()
 
     def _match(self, a: DataFrame, b: DataFrame):
         return reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in self.key))
@@ -77,9 +77,20 @@ class LocalTable:
         old = self.read()
         self._swap(old.join(keys, self._match(old, keys), "left_anti"))
 
-    def update_all(self, updates: DataFrame, defaults: DataFrame | None = None) -> None:
-        """Set the columns of ``updates`` in rows that are there; others are first made from ``defaults``, or else stay absent."""
+    def update_all(self, updates: DataFrame, defaults: DataFrame | None = None, order: str | None = None) -> None:
+        """Set the columns of ``updates`` in rows that are there; others are first made from ``defaults``, or else stay absent.
+
+        Of several updates of a key the greatest by ``order`` counts, or else the greatest by all columns.
+        """
         old = self.read()
+        rest = [c for c in updates.columns if c not in self.key]
+        if rest:
+            by = F.struct(*([F.col(order)] if order else []), *(F.col(c) for c in rest))
+            updates = updates.groupBy(*self.key).agg(F.max(by).alias("__m")).select(*self.key, *(F.col(f"__m.{c}").alias(c) for c in rest))
+        else:
+            updates = updates.dropDuplicates(list(self.key))
+        if defaults is not None:
+            defaults = defaults.dropDuplicates(list(self.key))
         if defaults is not None:
             missing = defaults.join(old, self._match(defaults, old), "left_anti")
             old = old.unionByName(missing, allowMissingColumns=True)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weirflow.catalog import Catalog, Source
 from weirflow.engine import Engine
@@ -53,12 +54,12 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "math_power_sqrt": ("SELECT o_orderkey, round(power(o_orderkey % 100, 2), 2) AS p, round(sqrt(o_orderkey), 4) AS s FROM sys.orders", None),
     "math_round": ("SELECT l_orderkey, l_linenumber, round(l_extendedprice, 1) AS t FROM sys.lineitem", None),
     "math_floor_ceil": ("SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS f, CAST(ceil(l_extendedprice) AS BIGINT) AS c FROM sys.lineitem", None),
-    "math_truncate": ("SELECT l_orderkey, l_linenumber, TRUNCATE(l_extendedprice, 1) AS t FROM sys.lineitem", "select l_orderkey, l_linenumber, trunc(l_extendedprice * 10) / 10 as t from lineitem"),
+    "math_truncate": ("SELECT l_orderkey, l_linenumber, TRUNCATE(l_extendedprice, 1) AS t FROM sys.lineitem", "select l_orderkey, l_linenumber, trunc(cast(l_extendedprice as decimal(18, 6)) * 10) / 10 as t from lineitem"),
     "string_concat": ("SELECT c_custkey, c_name || '-' || c_mktsegment AS s FROM sys.customer", None),
     "string_overlay": ("SELECT p_partkey, overlay(p_name placing 'ZZ' from 2 for 2) AS o FROM sys.part", "select p_partkey, substr(p_name, 1, 1) || 'ZZ' || substr(p_name, 4) as o from part"),
     "string_position": ("SELECT p_partkey, CAST(position('a' IN p_name) AS BIGINT) AS i FROM sys.part", None),
     "string_length": ("SELECT p_partkey, CAST(character_length(p_name) AS BIGINT) AS n, CAST(char_length(p_type) AS BIGINT) AS m FROM sys.part", "select p_partkey, length(p_name) as n, length(p_type) as m from part"),
-    "string_initcap": ("SELECT p_partkey, initcap(p_name) AS i FROM sys.part", "select p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ') as i from part"),
+    "string_initcap": ("SELECT p_partkey, initcap(p_name) AS i FROM sys.part", "select p_partkey, list_aggregate(list_transform(regexp_extract_all(p_name, '[a-zA-Z0-9]+|[^a-zA-Z0-9]+'), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', '') as i from part"),
     "string_substring": ("SELECT p_partkey, substring(p_name FROM 2 FOR 3) AS s, substring(p_name, 4) AS t FROM sys.part", None),
     "string_replace": ("SELECT p_partkey, replace(p_name, 'a', '_') AS s FROM sys.part", None),
     "string_trim": ("SELECT p_partkey, trim(BOTH 'a' FROM p_name) AS s, trim(LEADING 'b' FROM p_name) AS l, trim(TRAILING 'e' FROM p_name) AS t FROM sys.part", "select p_partkey, trim(p_name, 'a') as s, ltrim(p_name, 'b') as l, rtrim(p_name, 'e') as t from part"),
@@ -82,7 +83,7 @@ SELECTS: dict[str, tuple[str, str | None]] = {
         "SELECT o_orderkey, Flatten(a) AS v FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN CAST(array() AS array<string>) ELSE array('x', 'y') END AS a FROM sys.orders)",
         "select o_orderkey, unnest(case when o_orderkey % 3 = 0 then [null] when o_orderkey % 3 = 1 then []::varchar[] else ['x', 'y'] end) as v from orders",
     ),
-    "subquery_from": ("SELECT k FROM (SELECT o_orderkey AS k, o_custkey FROM sys.orders WHERE o_custkey > 10) WHERE k < 1000", None),
+    "subquery_from": ("SELECT k FROM (SELECT o_orderkey AS k, o_custkey FROM sys.orders WHERE o_totalprice > 1000) WHERE k % 2 = 1", None),
     "join_inner": ("SELECT o.o_orderkey, c.c_name FROM sys.orders o JOIN sys.customer.`$table` c ON o.o_custkey = c.c_custkey", "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey"),
     "join_left_null": ("SELECT o_orderkey, c_name FROM (SELECT *, nullif(o_custkey % 2, 0) * o_custkey AS fk FROM sys.orders) o LEFT JOIN sys.customer.`$table` c ON o.fk = c.c_custkey", "select o_orderkey, c_name from (select *, nullif(o_custkey % 2, 0) * o_custkey as fk from orders) o left join customer c on o.fk = c.c_custkey"),
     "join_right": ("SELECT o.o_orderkey, c.c_custkey FROM sys.customer.`$table` c RIGHT JOIN sys.orders o ON o.o_custkey = c.c_custkey", "select o_orderkey, c_custkey from customer right join orders on o_custkey = c_custkey"),
@@ -106,6 +107,26 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "set_union": ("SELECT k FROM (SELECT o_orderkey AS k FROM sys.orders UNION SELECT l_partkey AS k FROM sys.lineitem)", None),
     "set_intersect": ("SELECT k FROM (SELECT o_orderkey AS k FROM sys.orders INTERSECT SELECT l_partkey AS k FROM sys.lineitem)", None),
     "set_except": ("SELECT k FROM (SELECT o_orderkey AS k FROM sys.orders EXCEPT SELECT l_partkey AS k FROM sys.lineitem)", None),
+    "cast_varchar": ("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS a, CAST(o_orderpriority AS VARCHAR(3)) AS b FROM sys.orders", "select o_orderkey, cast(o_orderkey as varchar) as a, o_orderpriority[:3] as b from orders"),
+    "math_divide": ("SELECT o_orderkey, o_orderkey / 7 AS q, -o_orderkey * 2 / 3 AS r, o_orderkey / 2.0D AS h FROM sys.orders", "select o_orderkey, o_orderkey // 7 as q, cast(trunc(-o_orderkey * 2 / 3) as bigint) as r, o_orderkey / 2.0 as h from orders"),
+    "math_signs": ("SELECT o_orderkey, +o_custkey AS p, o_orderkey - o_custkey AS d FROM sys.orders WHERE o_custkey <= 500", "select o_orderkey, o_custkey as p, o_orderkey - o_custkey as d from orders where o_custkey <= 500"),
+    "filter_is_false": ("SELECT o_orderkey FROM sys.orders WHERE (nullif(o_orderstatus, 'F') = 'O') IS FALSE", None),
+    "filter_is_empty": ("SELECT o_orderkey, CAST(cardinality(MULTISET[o_custkey, 1]) AS BIGINT) AS n FROM sys.orders WHERE filter(ARRAY[o_custkey], x -> x > 500) IS EMPTY", "select o_orderkey, cast(2 as bigint) as n from orders where not o_custkey > 500"),
+    "filter_similar_signs": ("SELECT p_partkey FROM sys.part WHERE p_type || '.x$' SIMILAR TO '%(A|E)%.x!$' ESCAPE '!' AND NOT p_type SIMILAR TO '%.%'", "select p_partkey from part where p_type similar to '.*(A|E).*' and not contains(p_type, '.')"),
+    "date_ceil": ("SELECT event_id, CAST(CEIL(ts TO DAY) AS TIMESTAMP_NTZ) AS t FROM sys.events", "select event_id, case when date_trunc('day', ts) = ts then ts else date_trunc('day', ts) + interval 1 day end as t from events"),
+    "window_tumbling_end": ("SELECT TUMBLE_END(ts, INTERVAL '1' DAY) AS we, count(*) AS c FROM sys.events GROUP BY TUMBLE(ts, INTERVAL '1' DAY)", "select time_bucket(interval '1 day', ts) + interval 1 day as we, count(*) as c from events group by 1"),
+    "group_sum_zero": ("SELECT c_custkey, $SUM0(o_orderkey) AS s FROM sys.customer LEFT JOIN sys.orders ON o_custkey = c_custkey GROUP BY c_custkey", "select c_custkey, cast(coalesce(sum(o_orderkey), 0) as bigint) as s from customer left join orders on o_custkey = c_custkey group by c_custkey"),
+    "group_sets": ("SELECT l_returnflag, l_linestatus, count(*) AS c FROM sys.lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())", None),
+    "group_stddev": ("SELECT l_returnflag, round(stddev_samp(l_quantity), 4) AS d, round(var_pop(l_quantity), 4) AS v FROM sys.lineitem GROUP BY l_returnflag", None),
+    "array_query": ("SELECT r_regionkey, CAST(cardinality(ARRAY(SELECT n_nationkey FROM sys.nation)) AS BIGINT) AS n, MAP(SELECT n_nationkey, n_name FROM sys.nation)[3] AS m, CAST(cardinality(MULTISET(SELECT n_name FROM sys.nation)) AS BIGINT) AS k FROM sys.region", "select r_regionkey, (select count(*) from nation) as n, (select n_name from nation where n_nationkey = 3) as m, (select count(*) from nation) as k from region"),
+    "from_unnest": ("SELECT p_partkey, w FROM sys.part p, UNNEST(split(p.p_name, ' ')) AS u(w)", "select p_partkey, unnest(string_split(p_name, ' ')) as w from part"),
+    "from_comma": ("SELECT n_name, r_name FROM sys.nation n, sys.region r WHERE n.n_regionkey = r.r_regionkey", "select n_name, r_name from nation, region where n_regionkey = r_regionkey"),
+    "table_query": ("TABLE sys.region", "select r_regionkey as __key__, * from region"),
+    "values_rows": ("VALUES (1, 'a'), (2, 'b')", "select * from (values (1, 'a'), (2, 'b')) t(col1, col2)"),
+    "join_literal": ("SELECT o.o_orderkey, c.c_custkey FROM sys.orders o JOIN sys.customer.`$table` c ON o.o_custkey = c.c_custkey AND c.c_nationkey = 3", "select o_orderkey, c_custkey from orders join customer on o_custkey = c_custkey and c_nationkey = 3"),
+    "join_tables": ("SELECT c.c_custkey, n.n_name FROM sys.customer.`$table` c JOIN sys.nation.`$table` n ON c.c_nationkey = n.n_nationkey", "select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey"),
+    "join_table_kept": ("SELECT c.c_custkey, o.o_orderkey FROM sys.customer.`$table` c LEFT JOIN sys.orders o ON o.o_custkey = c.c_custkey", "select c_custkey, o_orderkey from customer left join orders on o_custkey = c_custkey"),
+    "sort_offset": ("SELECT o_orderkey, o_totalprice FROM sys.orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 30", None),
     "latest_per_key": ("SELECT user_id, max(event_id) AS event_id FROM sys.events GROUP BY user_id", None),
 }
 
@@ -141,6 +162,21 @@ def udf_overloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("c_custkey", registry.call(df, "POLY", "c_custkey").alias("a"), registry.call(df, "poly", "c_name").alias("b"))
 
 
+def udf_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An overloaded function in SQL: in SELECT, WHERE and ON."""
+    registry = Registry()
+    registry.udf("poly", ("bigint",), "bigint")(_twice)
+    registry.udf("poly", ("string",), "bigint")(_twice_length)
+    return Engine(spark, catalog(sf_dir), registry).run("INSERT INTO out.rows SELECT n.n_nationkey, poly(n.n_name) AS a, POLY(r.r_regionkey) AS b FROM sys.nation n JOIN sys.region.`$table` r ON poly(n.n_regionkey) = poly(r.r_regionkey) WHERE poly(n.n_name) > 10")
+
+
+def checked_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sink with a schema: what is selected is held against it."""
+    c = catalog(sf_dir)
+    c.add("out.checked", Source(write=lambda df: df, schema=StructType.fromDDL("id bigint, name string, note string"), optional=frozenset({"note"})))
+    return Engine(spark, c, strict=True).run("INSERT INTO out.checked SELECT CAST(o.o_orderkey AS BIGINT) AS id, c.c_name AS name FROM sys.orders o JOIN sys.customer.`$table` c ON o.o_custkey = c.c_custkey")
+
+
 def _twice(x):
     return x * 2
 
@@ -161,6 +197,8 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "sink_delete": (delete_rows, "select o_orderkey as k, 'DELETE' as op from orders where o_orderstatus = 'F'"),
     "nested_path": (nested_path, "select event_id, cast(json_extract(props, '$.k') as int) as k, event_id as e from events"),
     "udf_overloads": (udf_overloads, "select cast(c_custkey as bigint) as c_custkey, cast(c_custkey * 2 as bigint) as a, length(c_name) * 2 as b from customer"),
+    "udf_in_sql": (udf_in_sql, "select n_nationkey, length(n_name) * 2 as a, cast(r_regionkey * 2 as bigint) as b from nation join region on n_regionkey = r_regionkey where length(n_name) * 2 > 10"),
+    "sink_checked": (checked_sink, "select cast(o_orderkey as bigint) as id, c_name as name from orders join customer on o_custkey = c_custkey"),
     "table_latest": (latest_version, "select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) r from events) where r = 1"),
     "regex_column": (lambda s, d: _table("part")(s, d).where(regex_match(".*e.*?", F.col("p_name"))).select("p_partkey"), "select p_partkey from part where regexp_full_match(p_name, '.*e.*?')"),
     "flatten_frame": (lambda s, d: flatten(_table("part")(s, d).select("p_partkey", F.split("p_name", " ").alias("w")), "w"), "select p_partkey, unnest(string_split(p_name, ' ')) as w from part"),
