@@ -42,6 +42,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         e = scratch.stage(_small(_large(e)), "edges")
         now = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+        scratch.drop_named("edges", but_last=1)
         if now == last:
             break
         last = now

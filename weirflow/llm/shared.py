@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -16,10 +17,12 @@ SPACE = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as a URI.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset (tests) a temporary folder is made.
+    It is what ``spark.checkpoint.dir`` names. Only where that is unset and the driver is the only machine (tests) a temporary folder is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weirflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found if re.match(r"\w+:/", found) else f"file://{found}"
@@ -28,17 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """A folder of staged tables inside the shared folder.
 
-    Staged tables cut lineage: they survive lost executors, and what follows reads them again.
+    Staged tables cut lineage: they survive lost executors, and what follows reads them again. Those that nothing lazy reads any more
+    are dropped by their name, or all at once.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self._made = 0
+        self._made: list[tuple[str, str]] = []
 
     def folder(self, name: str) -> str:
-        self._made += 1
-        return f"{self.path}/{name}-{self._made}"
+        self._made.append((name, f"{self.path}/{name}-{len(self._made) + 1}"))
+        return self._made[-1][1]
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and read it back."""
@@ -47,9 +51,29 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        from pyarrow.fs import FileType
+
+        fs, at = filesystem(path)
+        if fs.get_file_info(at).type == FileType.Directory:
+            fs.delete_dir(at)
+
+    def drop_named(self, *names: str, but_last: int = 0) -> None:
+        """Drop the staged tables of some names, all but the last so many of each."""
+        for name in names:
+            paths = [p for n, p in self._made if n == name]
+            for path in paths[: len(paths) - but_last]:
+                self.drop(path)
+                self._made = [(n, "" if p == path else p) if n == name else (n, p) for n, p in self._made]
+            self._made = [(n, p) if p else ("", "") for n, p in self._made]
+
+    def drop_all(self) -> None:
+        self.drop(self.path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Let the driver find what it no longer refers to, so that the shuffle files of that go from the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def filesystem(uri: str):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm import simhash
 from weirflow.llm.components import components
-from weirflow.llm.shared import Scratch, small_batches
+from weirflow.llm.shared import Scratch, forget, small_batches
 
 SHINGLE = 5
 #: Least similarity of near-duplicates, as a fraction.
@@ -114,7 +114,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scr
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     x, y = own.select(F.col("node").alias("a"), F.col("text").alias("x")), own.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return scratch.stage(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "links")
+    links = scratch.stage(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "links")
+    scratch.drop_named("close", "texts")
+    forget(scratch.spark)
+    return links
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -144,6 +147,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     members = buckets.select("bucket", F.explode("ms").alias("m")).select("bucket", "m.n", "m.node").join(root, "node", "left").select("bucket", "n", "node", F.coalesce("root", "node").alias("root"))
     open_ = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     members = scratch.stage(members.join(open_, "bucket", "left_semi"), "members")
+    scratch.drop_named("buckets", "distinct")
     second = members.alias("x").join(members.alias("y"), "bucket").where(f"x.root <> y.root and x.node < y.node and x.n * {BELOW} >= y.n * {ABOVE} and y.n * {BELOW} >= x.n * {ABOVE}")
     second = second.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     links = links.unionByName(_verified(second, nodes, texts, scratch))

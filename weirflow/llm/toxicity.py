@@ -116,38 +116,46 @@ def fit(texts: list[str | None], labels: list[int], min_texts: int = MIN_TEXTS,
         y.append(label)
     if not 0 < sum(y) < len(y):
         return NoisyOr()
-    # by numbers: the tokens of all sentences, the features of all tokens (-1: none)
+    # by numbers: the tokens of all sentences, the features of all tokens by hash (0: none), a column for the word and each length of beginnings
     token, y = np.concatenate(tokens), np.array(y)
+    del tokens
     sentence = np.repeat(np.arange(len(sizes)), sizes)
-    text_of = np.array(text_of)
-    names = list(number)
-    hashes = np.zeros((len(names), 1 + len(PREFIXES)), np.uint64)
+    text_of, names = np.array(text_of), list(number)
+    width = 1 + len(PREFIXES)
+    hashes = np.zeros((width, len(names)), np.uint64)
     for i, t in enumerate(names):
         for j, f in enumerate(features(t)):
-            hashes[i, j] = xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) or 1
-    known, first, feature_of = np.unique(hashes.ravel(), return_index=True, return_inverse=True)
-    feature_of = feature_of.reshape(hashes.shape).astype(np.int32)
-    feature_of[hashes == 0] = -1
+            hashes[j, i] = xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) or 1
     pairs = np.unique(text_of[sentence].astype(np.int64) * len(names) + token)
-    held = np.unique(np.concatenate([(pairs // len(names))[on] * len(known) + f[on] for f in feature_of.T[:, pairs % len(names)] for on in (f >= 0,)]))
-    n = np.bincount(held % len(known), minlength=len(known)).astype(float)
-    b = np.bincount(held % len(known), y[held // len(known)], len(known))
-    parting = (b * len(y) - n * y.sum()) ** 2 / np.maximum(n * np.maximum(len(y) - n, 0.5), 0.5)
-    enough = np.flatnonzero(n >= min_texts)
-    chosen = enough[np.lexsort((known[enough], -parting[enough]))][:most]
+    found = []
+    for j in range(width):
+        known, first, of_token = np.unique(hashes[j], return_index=True, return_inverse=True)
+        held = np.unique(pairs // len(names) * len(known) + of_token[pairs % len(names)])
+        n = np.bincount(held % len(known), minlength=len(known)).astype(float)
+        b = np.bincount(held % len(known), y[held // len(known)], len(known))
+        parting = (b * len(y) - n * y.sum()) ** 2 / (n * np.maximum(len(y) - n, 0.5))
+        on = np.flatnonzero((n >= min_texts) & (known != 0))
+        found.append((parting[on], known[on], first[on], np.full(len(on), j)))
+    parting, known, first, column = (np.concatenate(x) for x in zip(*found, strict=True))
+    best = np.lexsort((known, -parting))[:most]
 
     def solved(chosen: np.ndarray, sparsity: float, rounds: int) -> np.ndarray:
-        place = np.full(len(known) + 1, -1, np.int64)
-        place[chosen] = np.arange(len(chosen))
-        own = [(place[f], sentence) for f in feature_of.T[:, token]]
-        feature, of = (np.concatenate(x) for x in zip(*((f[f >= 0], s[f >= 0]) for f, s in own), strict=True))
+        feature, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for j in range(width):
+            own = np.flatnonzero(column[chosen] == j)
+            if len(own):
+                own = own[np.argsort(known[chosen[own]])]
+                at = np.minimum(np.searchsorted(known[chosen[own]], hashes[j]), len(own) - 1)
+                place = np.where(known[chosen[own]][at] == hashes[j], own[at], -1)[token]
+                feature.append(place[place >= 0])
+                of.append(sentence[place >= 0])
+        feature, of = np.concatenate(feature), np.concatenate(of)
         used, of = np.unique(of, return_inverse=True)
         return _weights(feature, of, text_of[used], y.astype(float), len(chosen), sparsity, rounds)
 
-    picked = chosen[solved(chosen, sparsity, rounds) > 0]
+    picked = best[solved(best, sparsity, rounds) > 0]
     weights = solved(picked, relaxed, 2 * rounds)
-    width = hashes.shape[1]
-    return NoisyOr(MOST_BIAS, {features(names[first[f] // width])[first[f] % width]: float(w) for f, w in zip(picked, weights, strict=True) if w})
+    return NoisyOr(MOST_BIAS, {features(names[first[f]])[column[f]]: float(w) for f, w in zip(picked, weights, strict=True) if w})
 
 
 def _weights(feature: np.ndarray, of_sentence: np.ndarray, of_text: np.ndarray, y: np.ndarray, n: int, sparsity: float, rounds: int) -> np.ndarray:
