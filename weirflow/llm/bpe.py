@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm import cutting
-from weirflow.llm.shared import Scratch, filesystem, small_batches
+from weirflow.llm.shared import Scratch, filesystem, small_batches, trim
 
 #: Characters of text in a chunk (a longer text is a chunk of its own).
 CHUNK = 32 << 20
@@ -36,7 +36,7 @@ BITS = 28
 #: Buckets of the rank literal.
 BUCKETS = 1 << 17
 #: Words that are put together at a time.
-WORDS = 1 << 18
+WORDS = 1 << 17
 
 
 class RankError(ValueError):
@@ -151,9 +151,10 @@ def planes(numbers: np.ndarray) -> list[bytes]:
 
 def numbers_of(planes_: list[bytes]) -> np.ndarray:
     """The numbers that :func:`planes` took."""
-    out = np.zeros(len(planes_[0]) if planes_ else 0, np.int32)
-    on = np.arange(len(out))
-    for k, data in enumerate(planes_):
+    out = np.frombuffer(planes_[0] if planes_ else b"", np.uint8)
+    on = np.flatnonzero(out > 127).astype(np.int32)
+    out = (out & 127).astype(np.int32)
+    for k, data in enumerate(planes_[1:], 1):
         x = np.frombuffer(data, np.uint8)
         out[on] |= (x & 127).astype(np.int32) << (7 * k)
         on = on[x > 127]
@@ -189,6 +190,9 @@ def cut_words(df: DataFrame, pattern: str, scratch: Scratch, id_col: str, text_c
             words, codes = words.take(pa.array(order)), number_of[codes]
             payload = _packed({"ids": pa.array([ids], pa.list_(kind)), "counts": pa.array([counts.astype(np.int32)]), "codes": pa.array([planes(codes)], pa.list_(pa.binary()))})
             parts = [words.slice(at, 1 << 15).cast(pa.binary()) for at in range(0, len(words), 1 << 15)]
+            texts.clear()
+            del codes, number_of, order, words
+            trim()
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([None], pa.list_(pa.binary())), pa.array([payload])], names=["at", "words", "payload"])
             for i, part in enumerate(parts):
                 yield pa.RecordBatch.from_arrays([pa.array([number + 1 + (i << 15)]), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), pa.nulls(1, pa.binary())], names=["at", "words", "payload"])
@@ -273,6 +277,7 @@ def _texts(batches: Iterator[pa.RecordBatch], width: int):
             if of[lo] != chunk:
                 if chunk is not None:
                     yield done()
+                    trim()
                 chunk, payload, parts, sizes = int(of[lo]), b.column(1)[lo].as_py(), [], []
                 lo += 1
             own = b.column(2).slice(lo, hi - lo)

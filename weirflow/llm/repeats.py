@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.shared import Scratch, filesystem, small_batches
+from weirflow.llm.shared import Scratch, filesystem, small_batches, trim
 
 #: Marks of an anchor: its surroundings repeat; its windows must be compared.
 WHOLE, COMPARE = 1, 2
@@ -186,6 +186,7 @@ def segments(df: DataFrame, scratch: Scratch, shape: Shape, id_col: str, text_co
                 text = text or ""
                 if ids and size + len(text) > limit:
                     yield done()
+                    trim()
                     number, ids, texts, size = number + 1, [], [], 0
                 ids.append(id_)
                 texts.append(text)
@@ -252,6 +253,7 @@ class Corpus:
                     mark = np.zeros(int(pair.max(initial=-1)) + 1, np.int8)
                     mark[told["k"]] = told["mark"]
                     yield from of_segment(Segment(number, b.column(1).slice(i, 1).flatten(), b.column(2)[i].as_py(), first.astype(np.int64), last.astype(np.int64), lead, mark[pair], b.column(4)[i].values.to_numpy()[pair] if names else None), *(noted(f, number) for f in folders))
+                trim()
 
         return self.segments.select("segment", "ids", "texts", "ranges", *["name"] * names).mapInArrow(run, schema)
 

@@ -83,6 +83,18 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def trim() -> None:
+    """Give memory that a worker has freed back to the machine, where the C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the rows and bytes in an Arrow batch, so that batches of very long texts fit a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
