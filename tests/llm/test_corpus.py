@@ -68,6 +68,14 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_ids(spark):
+    """Ids of any characters, empty and NULL ones, and URLs with white space."""
+    ids = ["", "x>", "<a b>", "a\r\nb", "%41 +", "é", None]
+    pages = spark.createDataFrame([(i, f"http://a/{k} b", f"p{k}") for k, i in enumerate(ids)] + [("z", None, "p0")], "page_id string, url string, html string")
+    out = {(r["page_id"], r["url"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    assert out == {(i, f"http://a/{k}%20b", None) for k, i in enumerate(ids)} | {("z", None, "")}
+
+
 def test_warc_damage():
     good = warc.member("response", "urn:page:1", "http://a", b"abc", warc.digest(b"abc"), 3)
     for piece in (1, 7, 1000):
@@ -146,6 +154,9 @@ def test_proximity(spark, docs):
     index = decontaminate.build_index(d, Scratch(spark, "t"))
     near = lambda slop: {r["id"] for r in decontaminate.matches(index, [("q", "red green blue")], slop=slop).collect() if r["spans"]}
     assert near(0) == {1} and near(1) == {1, 2}
+    # no word of a match is in the next document
+    apart = decontaminate.build_index(spark.createDataFrame([(1, "z red blue"), (2, "green z")], "doc_id int, text string").coalesce(1), Scratch(spark, "t"))
+    assert not any(r["spans"] for r in decontaminate.matches(apart, [("q", "z blue green")], slop=1).collect())
 
 
 @pytest.mark.parametrize(("page", "text"), [
@@ -255,6 +266,16 @@ def test_quality(docs, rows, empty):
     assert quality.judged(empty).count() == 0
 
 
+def test_quality_labels(spark):
+    """On sf0.01, what the method keeps of labelled texts that pass the base test: good ones, hardly any bad one."""
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    rows = QUERIES["op5_quality"](spark, folder).where("not base_failed").join(labels, "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r["quality"], r["kept"]): r["count"] for r in rows}
+    assert n[1, True] >= 0.98 * (n[1, True] + n.get((1, False), 0))
+    assert n.get((0, True), 0) <= 0.1 * (n.get((0, True), 0) + n.get((0, False), 1))
+
+
 def test_quality_em():
     k = len(quality.RULES)
     clean, junk = (0,) * k, tuple(-1 if j in (0, 1, 5, 7) else 0 for j in range(k))

@@ -51,19 +51,23 @@ class Segment:
             return self.postings[:0]
         order = sorted(range(len(ids)), key=lambda i: self.starts[ids[i] + 1] - self.starts[ids[i]])
         at = self.list_of(ids[order[0]]) - order[0]
+        # every word must be in the document of the rarest one
+        doc = np.searchsorted(self.bases, at + order[0], side="right") - 1
+        low, high = self.bases[doc], self.ends[doc]
+        inside = (at >= low) & (at + len(ids) <= high)
+        at, low, high = at[inside], low[inside], high[inside]
         for i in order[1:]:
             if not len(at):
                 break
             have, want = self.list_of(ids[i]), at + i
             k = np.searchsorted(have, want)
             if slop:
-                near = np.minimum(np.abs(have[np.minimum(k, len(have) - 1)] - want), np.abs(have[np.maximum(k, 1) - 1] - want)) <= slop
+                near = np.zeros(len(at), bool)
+                for place in (have[np.minimum(k, len(have) - 1)], have[np.maximum(k, 1) - 1]):
+                    near |= (np.abs(place - want) <= slop) & (place >= low) & (place < high)
             else:
                 near = have[np.minimum(k, len(have) - 1)] == want
-            at = at[near]
-        if len(at):
-            doc = np.searchsorted(self.bases, at, side="right") - 1
-            at = at[(at >= 0) & (doc >= 0) & (at + len(ids) <= self.ends[np.maximum(doc, 0)])]
+            at, low, high = at[near], low[near], high[near]
         return at
 
 

@@ -18,15 +18,16 @@ from weirflow.llm.shared import SPACE, Scratch, text_column
 
 SPACES = r"[\x20\x09-\x0D]+"
 WINDOW = 5
-#: Frequent short words of the languages at hand (fixed values).
+#: Frequent short words of the languages at hand.
 FUNCTION_WORDS = "the of and to is that it for as with de la le et les des en un que el los y der die und das mit ein zu in du est ist den".split()
-#: (name, bad if, good if): votes on the columns of measured(); the first that holds counts, else the rule abstains.
+#: (name, bad if, good if): votes on the columns of measured(); the first that holds counts, else the rule abstains. Variety is Herdan's
+#: measure, whose bound is one for texts of all lengths.
 RULES: tuple[tuple[str, str, str], ...] = (
     ("word_length", "word_chars < 2.6 * n_words or word_chars > 6.9 * n_words", "false"),
     ("symbols", "10 * n_symbols > n_words", "false"),
     ("lines", "10 * n_dup_lines > 4 * n_lines", "false"),
     ("repeats", "100 * n_repeat_words > 50 * n_words", "false"),
-    ("variety", "100 * n_distinct < 45 * n_words and n_words < 2000", "false"),
+    ("variety", "n_words > 1 and ln(n_distinct) < 0.85 * ln(n_words)", "false"),
     ("endings", "5 * n_ended < n_lines", "5 * n_ended >= 4 * n_lines"),
     ("capitals", "5 * n_capitals > word_chars", "false"),
     ("function_words", "25 * n_function < n_words", "8 * n_function >= n_words"),

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -72,7 +74,7 @@ def member(kind: str, record_id: str, url: str | None, payload: bytes, payload_d
         "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{payload_digest}", f"WARC-Block-Digest: sha1:{digest(block)}", f"Content-Length: {len(block)}",
     ]
     if url:
-        head.append(f"WARC-Target-URI: {''.join(url.split())}")
+        head.append(f"WARC-Target-URI: {escaped(url)}")
     if kind == "revisit":
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{refers_to}>"]
     pack = zlib.compressobj(level, zlib.DEFLATED, 31)
@@ -116,8 +118,14 @@ def records(read, piece: int = PIECE, verify: bool = True) -> Iterator[Record]:
         yield out
 
 
+def escaped(text: str) -> str:
+    """Text for a header: white space, control characters and angle brackets as percent signs with their bytes."""
+    return re.sub(r"[\s\x00-\x1f\x7f<>]", lambda m: quote(m[0], safe=""), text)
+
+
 def _urn(page_id: object) -> str:
-    return f"urn:page:{'' if page_id is None else page_id}"
+    """The name of a record: of a NULL id without a part for it, else with the id, escaped."""
+    return "urn:page" if page_id is None else f"urn:page:{quote(str(page_id), safe='')}"
 
 
 def write_archives(df: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
@@ -152,7 +160,7 @@ def write_archives(df: DataFrame, scratch: Scratch, id_col: str = "page_id", url
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(part, compression=None)
                 kind = "response" if refers is None else "revisit"
-                out.write(member(kind, _urn(id_), url, (html or "").encode("utf-8", "surrogatepass"), base64.b32encode(sha).decode(), size, refers and _urn(refers)))
+                out.write(member(kind, _urn(id_), url, (html or "").encode("utf-8", "surrogatepass"), base64.b32encode(sha).decode(), size, None if refers is None else _urn(refers)))
                 n += 1
         if out is not None:
             out.close()
@@ -197,13 +205,16 @@ def read_archives(archives: DataFrame, n_tasks: int | None = None) -> DataFrame:
 def round_trip(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", scratch: Scratch | None = None) -> DataFrame:
     """Write all rows to archives and read these back: ids, sizes, digests, types, references and payloads.
 
+    Ids of any kind come back as they were, NULL and empty ones too; URLs have their white space escaped. A very long payload is held whole by one
+    task, one at a time.
+
     Rows that repeat both id and payload are all written alike; NULL and empty payloads are zero bytes and are
     equal; an empty table writes no archive; other columns are ignored.
     """
     scratch = scratch or Scratch(df.sparkSession, "warc")
     kind = dict(df.dtypes)[id_col]
     found = read_archives(write_archives(df, scratch, id_col, url_col, html_col))
-    own = lambda c: F.expr(f"nullif(substring({c}, 10), '')").cast(kind)
+    own = lambda c: F.expr(f"case when {c} like 'urn:page:%' then url_decode(substring({c}, 10)) end").cast(kind)
     return found.select(own("record_id").alias(id_col), "url", "payload_bytes", "payload_digest", "record_type", own("refers_to").alias("refers_to"), "payload")
 
 
