@@ -101,7 +101,17 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scr
     close = f"({apart}) * {ABOVE + BELOW} <= (a_n + b_n) * {BELOW - ABOVE}"
     pairs = scratch.stage(pairs.join(of("a"), "a").join(of("b"), "b").where(close).select("a", "b"), "close")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    own = scratch.stage(texts.join(ends, "node", "left_semi"), "texts")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True) for x in data], pa.binary())], names=["node", "text"])
+
+    def unpacked(x: bytes) -> str:
+        return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True).decode("utf-8", "surrogatepass")
+
+    # texts travel compressed: they are most of what is shuffled
+    own = scratch.stage(texts.select("node", "text").join(ends, "node", "left_semi").mapInArrow(packed, "node bigint, text binary"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -109,8 +119,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scr
             keep = []
             for a, x, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if held is None or a != last:
-                    last, held = a, shingles(x)
-                keep.append(alike(held, shingles(y)))
+                    last, held = a, shingles(unpacked(x))
+                keep.append(alike(held, shingles(unpacked(y))))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     x, y = own.select(F.col("node").alias("a"), F.col("text").alias("x")), own.select(F.col("node").alias("b"), F.col("text").alias("y"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm.shared import small_batches
+from weirflow.llm.shared import small_batches, trim
 
 #: Labelled texts that the model is fitted on, at most; taken by the hash of their ids.
 FIT_ROWS = 4000
@@ -199,7 +199,12 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if size + len(r["__text"] or "") <= chars:
             size += len(r["__text"] or "")
             found.append((r["__text"], r["__label"]))
-    return fit([t for t, _ in found], [y for _, y in found])
+    own, marks = [t for t, _ in found], [y for _, y in found]
+    del found
+    model = fit(own, marks)
+    own.clear()
+    trim()
+    return model
 
 
 def scored(df: DataFrame, model: NoisyOr, text_col: str = "text") -> DataFrame:
