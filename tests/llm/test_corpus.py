@@ -346,6 +346,46 @@ def _shingled(t):
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
 
 
+def test_similar_sets_share_a_part():
+    """Sets at a similarity of 0.8 have a key in common at every size and split of what differs; sets with a common passage have few."""
+    rng = np.random.default_rng(1)
+    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    for n in [*range(1, 60), 100, 333, 1000, 20_000]:
+        for _ in range(20 if n < 400 else 3):
+            x = draw(n)
+            left = rng.integers(0, n - (4 * n + 4) // 5 + 1)
+            both = x[left:]
+            added = draw(max(0, len(both) * 5 // 4 - n))
+            pair = np.unique(x), np.unique(np.concatenate([both, added[: rng.integers(0, len(added) + 1)]]))
+            assert similar.alike(*pair)
+            assert len(np.intersect1d(*map(similar.part_keys, pair)))
+    passage = draw(46)
+    many = [similar.part_keys(np.unique(np.concatenate([draw(954), passage]))) for _ in range(60)]
+    met = sum(len(np.intersect1d(a, b)) > 0 for i, a in enumerate(many) for b in many[:i])
+    assert met < 0.2 * 60 * 59 / 2
+    assert not len(similar.part_keys(np.zeros(0, np.uint64)))
+
+
+def test_similar_by_parts_alone(spark, monkeypatch):
+    """With all pairs of the last pass met by parts the components are the same."""
+    rng = np.random.default_rng(2)
+    passage = " ".join(f"p{k}" for k in range(12))
+    texts = [" ".join(f"w{rng.integers(0, 10**6)}" for _ in range(30)) + " " + passage for _ in range(40)]
+    texts += [t.replace(t.split()[k % 30], "changed") for k, t in enumerate(texts[:20])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = lambda: sorted(sorted(r.ids) for r in similar.near_duplicates(df).groupBy("__component").agg(F.collect_list("doc_id").alias("ids")).collect())
+    sets = [similar.shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if similar.alike(sets[a], sets[b]):
+                root = [root[b] if r == root[a] else r for r in root]
+    want = sorted(sorted(i for i in range(len(texts)) if root[i] == r) for r in set(root))
+    assert groups() == want
+    monkeypatch.setattr(similar, "FEW", 0)
+    assert groups() == want
+
+
 def test_similar(spark, empty):
     """Components by all pairs: near copies many bits apart meet, texts that share a passage only do not."""
     r = random.Random(11)

@@ -7,12 +7,15 @@ pairs meet. The order is rare first, as a sample has it, and by hash; any order
 
 A pair's candidates are sieved by bitmaps of their sets' parities: where these differ in more bits than the sets may in
 shingles, the pair cannot be similar, so no pair is lost and few texts travel. Every link is verified by the similarity of the whole sets. Links that connect large groups are verified first;
-then of each bucket only pairs of different components are.
+then only pairs of different components are. Buckets of few members list these pairs. Members of larger ones, which
+mostly have no more than a passage in common, meet by parts of their sets instead (:func:`part_keys`), which few pairs of
+them share; this too leaves no similar pair out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,20 @@ ABOVE, BELOW = 4, 5
 BITS = 512
 #: Texts (about) whose shingles are counted for the order, texts that make a shingle frequent, frequent shingles at most.
 SAMPLE, FREQUENT, MOST = 20_000, 3, 200_000
+#: Members up to which a bucket lists its pairs, rounds in which keys of parts are compared (each takes its share of the disk).
+FEW, ROUNDS = 16, 4
+
+
+def _sizes() -> np.ndarray:
+    """The least size of each class of sizes: sizes of similar sets are in one class or in neighbouring ones."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, (out[-1] - 1) * BELOW // ABOVE + 1))
+    return np.array(out)
+
+
+#: Sizes at which classes of sizes begin.
+SIZES = _sizes()
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -51,6 +68,38 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spread 64-bit numbers; another number for each."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def part_keys(s: np.ndarray) -> np.ndarray:
+    """Keys of a set of hashes, about half as many; two similar sets have at least one in common, sets that differ
+    in most of their hashes the less often the larger they are.
+
+    For its class of sizes and the next one a set is dealt by the hashes' values to more parts than similar sets of these classes
+    differ in hashes, so one part is the same in both. Each part with hashes gives a key of all of them. A set that leaves as many
+    parts empty as there are to spare may have only an empty part in common with another such set; it also gives its first hashes, as
+    in prefix filtering.
+    """
+    n, out = len(s), []
+    if not n:
+        return np.zeros(0, np.uint64)
+    own = int(np.searchsorted(SIZES, n, side="right")) - 1
+    for label in (own, own + 1):
+        apart = 2 * (int(SIZES[label + 1]) - 1) * (BELOW - ABOVE) // (ABOVE + BELOW)
+        parts = apart + 1 + apart // 8
+        at = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        name = _mix(at[starts] + np.uint64(label << 40))
+        out.append(_mix(np.add.reduceat(s, starts) ^ name))
+        if len(starts) <= apart:
+            out.append(_mix(s[: n - (ABOVE * n + BELOW - 1) // BELOW + 1] ^ _mix(np.array([(label << 40) + (1 << 39)], np.uint64))))
+    return np.concatenate(out)
+
+
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of frequent shingles, ascending, and how many texts of a sample have each."""
 
@@ -130,6 +179,35 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scr
     return links
 
 
+def _by_parts(wide: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(key, node, n, root)`` of the nodes of ``wide(node, root)`` by those keys of parts that different roots have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, root, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = shingles(text)
+                keys = part_keys(s).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.full(len(keys), x, np.int64)) for x in (node, len(s), root))], names=["key", "node", "n", "root"])
+
+    keys = texts.join(wide, "node").select("node", "root", "text").mapInArrow(run, "key bigint, node bigint, n bigint, root bigint")
+    keys = scratch.stage(keys, "keys")
+    met = []
+    for k in range(ROUNDS):
+        some = keys.where(F.pmod("key", F.lit(ROUNDS)) == k)
+        shared = some.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        met.append(scratch.stage(some.join(scratch.stage(shared, "shared"), "key", "left_semi"), "met"))
+        forget(scratch.spark)
+    scratch.drop_named("keys", "shared")
+    return reduce(DataFrame.unionByName, met)
+
+
+def _apart(members: DataFrame, group: str) -> DataFrame:
+    """``(a, b)``: members of a group with different roots whose sizes may be those of similar sets."""
+    x, y = members.alias("x"), members.alias("y")
+    pairs = x.join(y, group).where(f"x.root <> y.root and x.node < y.node and x.n * {BELOW} >= y.n * {ABOVE} and y.n * {BELOW} >= x.n * {ABOVE}")
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with ``__row``, a number of its own for each row, and ``__component``, equal in rows that similar pairs connect.
 
@@ -155,11 +233,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     links = _verified(first, nodes, texts, scratch)
     root = components(links, scratch)
     members = buckets.select("bucket", F.explode("ms").alias("m")).select("bucket", "m.n", "m.node").join(root, "node", "left").select("bucket", "n", "node", F.coalesce("root", "node").alias("root"))
-    open_ = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    members = scratch.stage(members.join(open_, "bucket", "left_semi"), "members")
+    open_ = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
+    members = scratch.stage(members.join(open_, "bucket"), "members")
     scratch.drop_named("buckets", "distinct")
-    second = members.alias("x").join(members.alias("y"), "bucket").where(f"x.root <> y.root and x.node < y.node and x.n * {BELOW} >= y.n * {ABOVE} and y.n * {BELOW} >= x.n * {ABOVE}")
-    second = second.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    wide = scratch.stage(members.where(F.col("size") > FEW).select("node", "root").distinct(), "wide")
+    second = _apart(members.where(F.col("size") <= FEW), "bucket").unionByName(_apart(_by_parts(wide, texts, scratch), "key"))
+    second = scratch.stage(second.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    scratch.drop_named("members", "wide", "met")
     links = links.unionByName(_verified(second, nodes, texts, scratch))
     root = components(links, scratch).select(F.col("node").alias("__node"), F.col("root").alias("__root"))
     return own.join(root, "__node", "left").select(*docs.columns, "__row", F.coalesce("__root", "__node").alias("__component"))
