@@ -2,8 +2,9 @@
 
 SimHash alone misses such pairs: fingerprints of pairs at 0.8 differ in about ten of 64 bits, more than any ball that can be
 listed. So candidates come from two sources: SimHash links, and prefix filtering. With the shingles of all
-texts in one order, two sets at 0.8 share a shingle among the first ``n - ceil(0.8 n) + 1`` of each, so all
-pairs meet. The order is rare first, as a sample has it, and by hash; any order gives the same result, a good one small buckets.
+texts in one order, by hash, two sets at 0.8 share a shingle among the first ``n - ceil(0.8 n) + 1`` of each, and ``k + 1`` among as many and
+``k`` more. So each set lists a tenth more of its shingles, and does without as many of those listed as a set of its least partner's
+size lists more, the most frequent ones as counted over all texts: of what two similar sets list in common the rarest stays in both, and passages that many texts share make no buckets.
 
 A pair's candidates are sieved by bitmaps of their sets' parities: where these differ in more bits than the sets may in
 shingles, the pair cannot be similar, so no pair is lost and few texts travel. Every link is verified by the similarity of the whole sets. Links that connect large groups are verified first;
@@ -20,20 +21,20 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm import simhash
 from weirflow.llm.components import components
-from weirflow.llm.shared import Scratch, forget, small_batches
+from weirflow.llm.shared import Scratch, forget, small_batches, trim
 
 SHINGLE = 5
 #: Least similarity of near-duplicates, as a fraction.
 ABOVE, BELOW = 4, 5
 #: Bits in a bitmap.
 BITS = 512
-#: Texts (about) whose shingles are counted for the order, texts that make a shingle frequent, frequent shingles at most.
-SAMPLE, FREQUENT, MOST = 20_000, 3, 200_000
+#: One in so many shingles of a text is listed beyond the prefix, so that as many of the most frequent need not be met by.
+SPARE = 10
 #: Members up to which a bucket lists its pairs, rounds in which keys of parts are compared (each takes its share of the disk).
 FEW, ROUNDS = 16, 4
 
@@ -100,25 +101,8 @@ def part_keys(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of frequent shingles, ascending, and how many texts of a sample have each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingles(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
-
-    part = max(1, docs.count() // SAMPLE)
-    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).mapInArrow(run, "h bigint")
-    rows = sample.groupBy("h").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(MOST).collect()
-    h, n = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
 def _sets(docs: DataFrame) -> DataFrame:
     """``docs`` with a row number, the set's hash (node), its size n, fingerprint and first shingles."""
-    frequent, count = _frequent(docs)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,13 +115,10 @@ def _sets(docs: DataFrame) -> DataFrame:
                 size.append(n)
                 bits.append(bitmap(s))
                 fp.append(simhash.fingerprint(t, SHINGLE))
-                rare = np.zeros(n, np.int64)
-                if len(frequent) and n:
-                    k = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    rare = np.where(frequent[k] == s, count[k], 0)
-                first.append(s[np.argsort(rare, kind="stable")[: n - (ABOVE * n + BELOW - 1) // BELOW + 1]].view(np.int64))
+                first.append(s[: n - (ABOVE * n + BELOW - 1) // BELOW + 1 + n // SPARE].view(np.int64))
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
             yield pa.RecordBatch.from_arrays([*b.columns, signed[0], pa.array(size, pa.int64()), signed[1], pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=[*b.schema.names, "__node", "__n", "__fp", "__first", "__bits"])
+        trim()
 
     kinds = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
     return docs.mapInArrow(run, f"{kinds}, __node bigint, __n bigint, __fp bigint, __first array<bigint>, __bits array<bigint>").withColumn("__row", F.monotonically_increasing_id())
@@ -188,6 +169,7 @@ def _by_parts(wide: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
                 s = shingles(text)
                 keys = part_keys(s).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.full(len(keys), x, np.int64)) for x in (node, len(s), root))], names=["key", "node", "n", "root"])
+        trim()
 
     keys = texts.join(wide, "node").select("node", "root", "text").mapInArrow(run, "key bigint, node bigint, n bigint, root bigint")
     keys = scratch.stage(keys, "keys")
@@ -221,8 +203,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     nodes = scratch.stage(nodes, "nodes")
     texts = own.select("__row", F.col("__node").alias("node"), "text").join(least.select("__row"), "__row", "left_semi").drop("__row")
     member = F.struct(F.col("__n").alias("n"), F.col("__node").alias("node"))
-    buckets = own.select(F.explode("__first").alias("key"), member.alias("m")).groupBy("key").agg(F.sort_array(F.collect_set("m")).alias("ms"))
+    met = own.select(F.explode("__first").alias("key"), member.alias("m")).groupBy("key").agg(F.collect_set("m").alias("ms")).where(F.size("ms") > 1)
+    met = scratch.stage(met.select("key", F.size("ms").alias("size"), F.explode("ms").alias("m")).select("key", "size", "m.*"), "met")
+    order = Window.partitionBy("node").orderBy(F.desc("size"), F.desc("key"))
+    rare = met.withColumn("place", F.row_number().over(order)).where(F.expr(f"place > ({ABOVE} * n + {BELOW - 1}) div {BELOW} div {SPARE}"))
+    buckets = rare.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("n", "node"))).alias("ms"))
     buckets = scratch.stage(buckets.where(F.size("ms") > 1).select("ms").distinct().withColumn("bucket", F.monotonically_increasing_id()), "buckets")
+    scratch.drop_named("met")
     stars = buckets.select(F.explode(F.expr("flatten(transform(slice(ms, 2, size(ms)), (m, i) -> array(struct(ms[0] as x, m as y), struct(ms[i] as x, m as y))))")).alias("p")).select("p.x", "p.y")
     stars = stars.where(F.col("x.n") * BELOW >= F.col("y.n") * ABOVE).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     once = scratch.stage(own.groupBy("__fp").agg(F.min("__node").alias("node")).withColumnRenamed("__fp", "fp"), "distinct")
