@@ -16,7 +16,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from weirflow.llm import bpe, cutting, decontaminate, extract, quality, similar, simhash, substrings, suffixes, tokenstore, toxicity, warc
+from weirflow.llm import bpe, cutting, decontaminate, extract, quality, shared, similar, simhash, substrings, suffixes, tokenstore, toxicity, warc
 from weirflow.llm.components import components
 from weirflow.llm.queries import ORACLE_SQL, QUERIES
 from weirflow.llm.shared import Scratch
@@ -735,3 +735,55 @@ def test_sql(spark, name):
     out = QUERIES[name](spark, folder)
     columns = sorted(out.columns)
     _same(out.select(*columns), con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall())
+
+
+def _shuffle_files(spark):
+    """Names of the shuffle files that are on this machine's disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in files.split("\n") if "/shuffle_" in f}
+
+
+def _hadoop_files(scratch):
+    """Sums that Hadoop's local file system leaves beside each file it writes; it starts a process for each of both."""
+    from pathlib import Path
+
+    return [f for f in Path(scratch.path.removeprefix("file://")).rglob("*") if f.suffix == ".crc"]
+
+
+def test_put(spark, empty, tmp_path):
+    """What workers write is what was given, a second attempt takes the first one's place, and shuffle files go."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    scratch = Scratch(spark, "put")
+    rows = [(None, None, None, None, None), (1, "é\U0001f600", bytearray(b"\0\xff"), [1, None], [(b"x", None)]), (2, "", bytearray(), [], [])]
+    df = spark.createDataFrame(rows, "a long, b string, c binary, d array<int>, e array<struct<f:binary,g:tinyint>>").repartition(3, "a")
+    out = scratch.put(df, "rows")
+    assert out.schema == df.schema and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+    assert scratch.put(empty, "none").collect() == []
+
+    def twice(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([2 * x for x in b.column(0).to_pylist()])], names=["x"])
+
+    assert sorted(r["x"] for r in scratch.put(spark.range(1000).repartition(4), "twice", twice, "x long").collect()) == list(range(0, 2000, 2))
+    assert not _hadoop_files(scratch)
+    before = _shuffle_files(spark)
+    scratch.put(spark.range(5000).repartitionByRange(4, "id"), "gone")
+    assert not _shuffle_files(spark) - before
+    for n in (3, 2):
+        out = shared.ParquetFile(f"file://{tmp_path}/of", "part.parquet")
+        out.write(pa.record_batch({"x": list(range(n))}))
+        assert n == 3 or pq.read_table(tmp_path / "of/part.parquet").num_rows == 3
+        out.close()
+    assert [f.name for f in (tmp_path / "of").iterdir()] == ["part.parquet"] and pq.read_table(tmp_path / "of/part.parquet").num_rows == 2
+
+
+def test_tokenstore_disk(spark, docs, monkeypatch):
+    """The sorted texts are off the disk before packs are written again."""
+    before, left = _shuffle_files(spark), []
+    compacted = tokenstore._compacted
+    monkeypatch.setattr(tokenstore, "_compacted", lambda *a: left.append(_shuffle_files(spark) - before) or compacted(*a))
+    scratch = Scratch(spark, "t")
+    tokenstore.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"), scratch)
+    assert left == [set()] and not _hadoop_files(scratch)

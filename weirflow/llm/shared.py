@@ -6,7 +6,9 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,18 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def put(self, df: DataFrame, name: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str | None = None) -> DataFrame:
+        """Write ``df``, or what ``run`` gives of its batches, as Parquet by the workers themselves and read it back.
+
+        What a worker makes does not go back through the JVM. On a local file system Hadoop starts processes (``chmod``) for every file
+        that it writes, each of which has the whole memory of an executor's JVM for a moment; here none are started.
+        """
+        path = self.folder(name)
+        fs, at = filesystem(path)
+        fs.create_dir(at, recursive=True)
+        carry_out(df.mapInArrow(_writing(path, run), "rows bigint"))
+        return self.spark.read.schema(schema or df.schema).parquet(path)
+
     def drop(self, path: str) -> None:
         from pyarrow.fs import FileType
 
@@ -70,6 +84,20 @@ class Scratch:
         self.drop(self.path)
 
 
+def carry_out(df: DataFrame) -> None:
+    """Let the tasks of ``df`` run, whose rows are of no use; the shuffle files of that go from the executors' disks at its end."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        df.write.format("noop").mode("overwrite").save()
+    finally:
+        if before is None:
+            conf.unset(key)
+        else:
+            conf.set(key, before)
+
+
 def forget(spark: SparkSession) -> None:
     """Let the driver find what it no longer refers to, so that the shuffle files of that go from the executors' disks."""
     gc.collect()
@@ -83,12 +111,69 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: Bytes in a row group, about.
+_GROUP = 8 << 20
+
+
+class ParquetFile:
+    """A Parquet file that appears under its name when it is closed, in place of one that an earlier attempt of the task wrote."""
+
+    def __init__(self, folder: str, name: str):
+        self.fs, self.base = filesystem(folder)
+        self.name, self.part = f"{self.base}/{name}", f"{self.base}/_{uuid.uuid4().hex}"
+        self.out, self.held, self.size = None, [], 0
+
+    def write(self, batch: pa.RecordBatch) -> None:
+        if batch.num_rows:
+            self.held.append(batch)
+            self.size += batch.nbytes
+            if self.size >= _GROUP:
+                self._flush()
+
+    def _flush(self) -> None:
+        import pyarrow.parquet as pq
+
+        table = pa.Table.from_batches(self.held)
+        if self.out is None:
+            self.fs.create_dir(self.base, recursive=True)
+            self.stream = self.fs.open_output_stream(self.part, compression=None)
+            self.out = pq.ParquetWriter(self.stream, table.schema, compression="zstd", compression_level=3, use_dictionary=False, write_statistics=False)
+        self.out.write_table(table, row_group_size=table.num_rows)
+        self.held, self.size = [], 0
+
+    def close(self) -> None:
+        if self.held:
+            self._flush()
+        if self.out is not None:
+            self.out.close()
+            self.stream.close()
+            self.fs.move(self.part, self.name)
+
+
+def part_name() -> str:
+    """The name of a task's file."""
+    from pyspark import TaskContext
+
+    return f"part-{TaskContext.get().partitionId():05d}.parquet"
+
+
+def _writing(folder: str, run: Callable | None):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, rows = ParquetFile(folder, part_name()), 0
+        for b in run(batches) if run else batches:
+            out.write(b)
+            rows += b.num_rows
+        out.close()
+        trim()
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], names=["rows"])
+
+    return write
+
+
 def trim() -> None:
     """Give memory that a worker has freed back to the machine, where the C library can."""
     import ctypes
 
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     give = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if give:

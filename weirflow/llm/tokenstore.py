@@ -248,11 +248,11 @@ def write_store(df: DataFrame, tokenizer_path: str, scratch: Scratch, id_col: st
 
     source = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     ordered = source.repartitionByRange("id").sortWithinPartitions("id", "text")
-    documents = scratch.stage(ordered.mapInArrow(run, f"id {kind}, part int, place int, n_tokens bigint, chunks {_REF}, root binary"), "documents")
+    documents = scratch.put(ordered, "documents", run, f"id {kind}, part int, place int, n_tokens bigint, chunks {_REF}, root binary")
     refs = documents.select("part", "place", F.posexplode("chunks").alias("k", "c")).select("part", "place", "k", "c.*")
     owner = refs.groupBy("hash").agg(F.min(F.struct("pack", "off", "n")).alias("o"))
     own = owner.select("o.pack", "o.off", "o.n", "hash").repartition("pack").sortWithinPartitions("pack", "off")
-    index = scratch.stage(own.mapInArrow(_compacted(loose, packs, width), "hash binary, pack bigint, off bigint"), "index")
+    index = scratch.put(own, "index", _compacted(loose, packs, width), "hash binary, pack bigint, off bigint")
     scratch.drop(loose)
     found = refs.select("part", "place", "k", "hash", "n").join(index, "hash")
     chunks = found.groupBy("part", "place").agg(F.array_sort(F.collect_list(F.struct("k", "hash", "n", "pack", "off"))).alias("chunks"))
@@ -260,8 +260,8 @@ def write_store(df: DataFrame, tokenizer_path: str, scratch: Scratch, id_col: st
     running = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     starts = documents.select("id", "part", "place", "n_tokens", "root", F.coalesce(running, F.lit(0)).alias("inner")).join(F.broadcast(before), "part")
     recipes = starts.join(chunks, ["part", "place"], "left").select("id", "part", "place", (F.col("before") + F.col("inner")).alias("start"), "n_tokens", F.coalesce("chunks", F.expr("cast(array() as array<struct<k:int,hash:binary,n:int,pack:bigint,off:bigint>>)")).alias("chunks"), "root")
-    recipes = scratch.stage(recipes.repartitionByRange("part", "place").sortWithinPartitions("part", "place"), "recipes")
-    manifest = scratch.stage(_manifest(documents), "manifest")
+    recipes = scratch.put(recipes.repartitionByRange("part", "place").sortWithinPartitions("part", "place"), "recipes")
+    manifest = scratch.put(_manifest(documents), "manifest")
     return Store(packs, recipes, manifest, dtype)
 
 
