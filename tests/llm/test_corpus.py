@@ -787,3 +787,11 @@ def test_tokenstore_disk(spark, docs, monkeypatch):
     scratch = Scratch(spark, "t")
     tokenstore.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"), scratch)
     assert left == [set()] and not _hadoop_files(scratch)
+
+
+@pytest.mark.parametrize("of", [substrings.deduplicated])
+def test_staged_by_workers(spark, docs, of):
+    """Operators stage their tables without Hadoop's local file system, which starts processes as large as an executor."""
+    scratch = Scratch(spark, "t")
+    of(docs.select("doc_id", "text", "lang"), scratch=scratch).count()
+    assert not _hadoop_files(scratch)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.shared import Scratch, filesystem, small_batches, trim
+from weirflow.llm.shared import ParquetFile, Scratch, carry_out, filesystem, part_name, small_batches, trim
 
 #: Marks of an anchor: its surroundings repeat; its windows must be compared.
 WHOLE, COMPARE = 1, 2
@@ -196,7 +196,7 @@ def segments(df: DataFrame, scratch: Scratch, shape: Shape, id_col: str, text_co
 
     source = df.select(f"`{id_col}`", F.col(f"`{text_col}`").cast("string").alias("text"))
     pairs = "name array<bigint>, one array<bigint>, two array<bigint>, many array<boolean>, ranges array<struct<pair:int,lead:boolean,first:int,last:int>>"
-    return scratch.stage(source.mapInArrow(run, f"segment bigint, ids array<{kind}>, texts array<string>, {pairs}"), "segments")
+    return scratch.put(source, "segments", run, f"segment bigint, ids array<{kind}>, texts array<string>, {pairs}")
 
 
 @dataclass
@@ -314,8 +314,26 @@ def repeated_windows(rows: DataFrame, scratch: Scratch) -> str:
 def note(rows: DataFrame, scratch: Scratch, name: str) -> str:
     """Write ``rows`` so that those about the segments of one source partition are in a folder of their own, by segment."""
     folder = scratch.folder(name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, out, n = None, None, 0
+        for b in batches:
+            of = b.column(b.num_columns - 1).to_numpy()
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]).tolist() if len(of) else []
+            for lo, hi in zip(first, [*first[1:], len(of)], strict=True):
+                if out is None or of[lo] != bucket:
+                    if out is not None:
+                        out.close()
+                    bucket = of[lo]
+                    out = ParquetFile(f"{folder}/bucket={bucket}", part_name())
+                out.write(b.slice(lo, hi - lo).select(range(b.num_columns - 1)))
+            n += len(of)
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["rows"])
+
     told = rows.withColumn("bucket", F.shiftright("segment", 32))
-    told.repartition("bucket").sortWithinPartitions("bucket", "segment").write.option("compression", "zstd").partitionBy("bucket").parquet(folder)
+    carry_out(told.repartition("bucket").sortWithinPartitions("bucket", "segment").mapInArrow(run, "rows bigint"))
     return folder
 
 
