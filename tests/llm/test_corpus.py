@@ -789,9 +789,9 @@ def test_tokenstore_disk(spark, docs, monkeypatch):
     assert left == [set()] and not _hadoop_files(scratch)
 
 
-@pytest.mark.parametrize("of", [substrings.deduplicated])
+@pytest.mark.parametrize("of", [substrings.deduplicated, similar.near_duplicates])
 def test_staged_by_workers(spark, docs, of):
     """Operators stage their tables without Hadoop's local file system, which starts processes as large as an executor."""
     scratch = Scratch(spark, "t")
-    of(docs.select("doc_id", "text", "lang"), scratch=scratch).count()
+    of(docs.select("doc_id", "text"), scratch=scratch).count()
     assert not _hadoop_files(scratch)

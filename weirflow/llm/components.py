@@ -37,10 +37,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     its edges are staged in the shared folder, so lineage stays short. No node, edge or component
     is collected. Self-loops, repeated edges and an empty table are fine; NULL ends are ignored.
     """
-    e = scratch.stage(_tidy(edges), "edges")
+    e = scratch.put(_tidy(edges), "edges")
     last = None
     while True:
-        e = scratch.stage(_small(_large(e)), "edges")
+        e = scratch.put(_small(_large(e)), "edges")
         now = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
         scratch.drop_named("edges", but_last=1)
         if now == last:

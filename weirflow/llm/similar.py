@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm import simhash
 from weirflow.llm.components import components
-from weirflow.llm.shared import Scratch, forget, small_batches, trim
+from weirflow.llm.shared import Scratch, forget, small_batches
 
 SHINGLE = 5
 #: Least similarity of near-duplicates, as a fraction.
@@ -101,11 +101,14 @@ def part_keys(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row number, the set's hash (node), its size n, fingerprint and first shingles."""
+def _sets(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with a row number, the set's hash (node), its size n, fingerprint and first shingles, staged."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
             node, size, fp, first, bits = [], [], [], [], []
             for t in b.column(at).to_pylist():
@@ -117,11 +120,11 @@ def _sets(docs: DataFrame) -> DataFrame:
                 fp.append(simhash.fingerprint(t, SHINGLE))
                 first.append(s[: n - (ABOVE * n + BELOW - 1) // BELOW + 1 + n // SPARE].view(np.int64))
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
-            yield pa.RecordBatch.from_arrays([*b.columns, signed[0], pa.array(size, pa.int64()), signed[1], pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=[*b.schema.names, "__node", "__n", "__fp", "__first", "__bits"])
-        trim()
+            yield pa.RecordBatch.from_arrays([*b.columns, signed[0], pa.array(size, pa.int64()), signed[1], pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(np.arange(row, row + b.num_rows))], names=[*b.schema.names, "__node", "__n", "__fp", "__first", "__bits", "__row"])
+            row += b.num_rows
 
     kinds = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
-    return docs.mapInArrow(run, f"{kinds}, __node bigint, __n bigint, __fp bigint, __first array<bigint>, __bits array<bigint>").withColumn("__row", F.monotonically_increasing_id())
+    return scratch.put(docs, "sets", run, f"{kinds}, __node bigint, __n bigint, __fp bigint, __first array<bigint>, __bits array<bigint>, __row bigint")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -129,7 +132,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scr
     of = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"{end}_n"), F.col("bits").alias(f"{end}_bits"))
     apart = " + ".join(f"bit_count(a_bits[{k}] ^ b_bits[{k}])" for k in range(BITS // 64))
     close = f"({apart}) * {ABOVE + BELOW} <= (a_n + b_n) * {BELOW - ABOVE}"
-    pairs = scratch.stage(pairs.join(of("a"), "a").join(of("b"), "b").where(close).select("a", "b"), "close")
+    pairs = scratch.put(pairs.join(of("a"), "a").join(of("b"), "b").where(close).select("a", "b"), "close")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +144,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scr
         return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True).decode("utf-8", "surrogatepass")
 
     # texts travel compressed: they are most of what is shuffled
-    own = scratch.stage(texts.select("node", "text").join(ends, "node", "left_semi").mapInArrow(packed, "node bigint, text binary"), "texts")
+    own = scratch.put(texts.select("node", "text").join(ends, "node", "left_semi"), "texts", packed, "node bigint, text binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -154,7 +157,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scr
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     x, y = own.select(F.col("node").alias("a"), F.col("text").alias("x")), own.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    links = scratch.stage(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "links")
+    links = scratch.put(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), "links", run, "a bigint, b bigint")
     scratch.drop_named("close", "texts")
     forget(scratch.spark)
     return links
@@ -169,15 +172,13 @@ def _by_parts(wide: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
                 s = shingles(text)
                 keys = part_keys(s).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.full(len(keys), x, np.int64)) for x in (node, len(s), root))], names=["key", "node", "n", "root"])
-        trim()
 
-    keys = texts.join(wide, "node").select("node", "root", "text").mapInArrow(run, "key bigint, node bigint, n bigint, root bigint")
-    keys = scratch.stage(keys, "keys")
+    keys = scratch.put(texts.join(wide, "node").select("node", "root", "text"), "keys", run, "key bigint, node bigint, n bigint, root bigint")
     met = []
     for k in range(ROUNDS):
         some = keys.where(F.pmod("key", F.lit(ROUNDS)) == k)
         shared = some.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        met.append(scratch.stage(some.join(scratch.stage(shared, "shared"), "key", "left_semi"), "met"))
+        met.append(scratch.put(some.join(scratch.put(shared, "shared"), "key", "left_semi"), "met"))
         forget(scratch.spark)
     scratch.drop_named("keys", "shared")
     return reduce(DataFrame.unionByName, met)
@@ -197,35 +198,35 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     """
     scratch = scratch or Scratch(docs.sparkSession, "similar")
     small_batches(docs.sparkSession)
-    own = scratch.stage(_sets(docs), "sets")
+    own = _sets(docs, scratch)
     least = own.groupBy("__node").agg(F.min("__row").alias("__row"))
     nodes = own.select("__row", F.col("__node").alias("node"), F.col("__n").alias("n"), F.col("__bits").alias("bits")).join(least.select("__row"), "__row", "left_semi").drop("__row")
-    nodes = scratch.stage(nodes, "nodes")
+    nodes = scratch.put(nodes, "nodes")
     texts = own.select("__row", F.col("__node").alias("node"), "text").join(least.select("__row"), "__row", "left_semi").drop("__row")
     member = F.struct(F.col("__n").alias("n"), F.col("__node").alias("node"))
     met = own.select(F.explode("__first").alias("key"), member.alias("m")).groupBy("key").agg(F.collect_set("m").alias("ms")).where(F.size("ms") > 1)
-    met = scratch.stage(met.select("key", F.size("ms").alias("size"), F.explode("ms").alias("m")).select("key", "size", "m.*"), "met")
+    met = scratch.put(met.select("key", F.size("ms").alias("size"), F.explode("ms").alias("m")).select("key", "size", "m.*"), "met")
     order = Window.partitionBy("node").orderBy(F.desc("size"), F.desc("key"))
     rare = met.withColumn("place", F.row_number().over(order)).where(F.expr(f"place > ({ABOVE} * n + {BELOW - 1}) div {BELOW} div {SPARE}"))
     buckets = rare.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("n", "node"))).alias("ms"))
-    buckets = scratch.stage(buckets.where(F.size("ms") > 1).select("ms").distinct().withColumn("bucket", F.monotonically_increasing_id()), "buckets")
+    buckets = scratch.put(buckets.where(F.size("ms") > 1).select("ms").distinct().withColumn("bucket", F.monotonically_increasing_id()), "buckets")
     scratch.drop_named("met")
     stars = buckets.select(F.explode(F.expr("flatten(transform(slice(ms, 2, size(ms)), (m, i) -> array(struct(ms[0] as x, m as y), struct(ms[i] as x, m as y))))")).alias("p")).select("p.x", "p.y")
     stars = stars.where(F.col("x.n") * BELOW >= F.col("y.n") * ABOVE).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    once = scratch.stage(own.groupBy("__fp").agg(F.min("__node").alias("node")).withColumnRenamed("__fp", "fp"), "distinct")
+    once = scratch.put(own.groupBy("__fp").agg(F.min("__node").alias("node")).withColumnRenamed("__fp", "fp"), "distinct")
     of = lambda end: once.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node"))
     near = simhash.links(once).join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     first = stars.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    first = scratch.stage(first, "pairs")
+    first = scratch.put(first, "pairs")
     links = _verified(first, nodes, texts, scratch)
     root = components(links, scratch)
     members = buckets.select("bucket", F.explode("ms").alias("m")).select("bucket", "m.n", "m.node").join(root, "node", "left").select("bucket", "n", "node", F.coalesce("root", "node").alias("root"))
     open_ = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("bucket", "size")
-    members = scratch.stage(members.join(open_, "bucket"), "members")
+    members = scratch.put(members.join(open_, "bucket"), "members")
     scratch.drop_named("buckets", "distinct")
-    wide = scratch.stage(members.where(F.col("size") > FEW).select("node", "root").distinct(), "wide")
+    wide = scratch.put(members.where(F.col("size") > FEW).select("node", "root").distinct(), "wide")
     second = _apart(members.where(F.col("size") <= FEW), "bucket").unionByName(_apart(_by_parts(wide, texts, scratch), "key"))
-    second = scratch.stage(second.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    second = scratch.put(second.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     scratch.drop_named("members", "wide", "met")
     links = links.unionByName(_verified(second, nodes, texts, scratch))
     root = components(links, scratch).select(F.col("node").alias("__node"), F.col("root").alias("__root"))
