@@ -789,7 +789,7 @@ def test_tokenstore_disk(spark, docs, monkeypatch):
     assert left == [set()] and not _hadoop_files(scratch)
 
 
-@pytest.mark.parametrize("of", [substrings.deduplicated, similar.near_duplicates])
+@pytest.mark.parametrize("of", [substrings.deduplicated, similar.near_duplicates, simhash.near_duplicates])
 def test_staged_by_workers(spark, docs, of):
     """Operators stage their tables without Hadoop's local file system, which starts processes as large as an executor."""
     scratch = Scratch(spark, "t")

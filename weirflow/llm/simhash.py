@@ -15,7 +15,7 @@ masked bits. All links have been verified to lie within the radius; the number o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +54,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(id_col, fp)`` of every row; fp is the fingerprint's 64 bits as a long."""
+def _fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, Callable, str]:
+    """What is read for :func:`fingerprints`, what makes them of it, and their schema."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +64,13 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=[id_col, "fp"])
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(f"`{id_col}`", F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return df.select(f"`{id_col}`", F.col(f"`{text_col}`").cast("string").alias("text")), run, f"`{id_col}` {kind}, fp bigint"
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``(id_col, fp)`` of every row; fp is the fingerprint's 64 bits as a long."""
+    source, run, schema = _fingerprints(df, id_col, text_col, shingle)
+    return source.mapInArrow(run, schema)
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +193,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are NULL; an empty table gives an empty result.
     """
     scratch = scratch or Scratch(df.sparkSession, "simhash")
-    own = scratch.stage(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    once = scratch.stage(own.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least")), "distinct")
+    source, run, schema = _fingerprints(df, id_col, text_col, shingle)
+    own = scratch.put(source, "fingerprints", run, schema)
+    once = scratch.put(own.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least")), "distinct")
     root = components(links(once), scratch).select(F.col("node").alias("fp"), "root")
     joined = once.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
