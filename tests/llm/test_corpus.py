@@ -366,6 +366,49 @@ def test_similar_sets_share_a_part():
     assert not len(similar.part_keys(np.zeros(0, np.uint64)))
 
 
+def test_near_copies_of_a_template_make_few_pairs(spark, monkeypatch):
+    """Copies of one template, each with changes of its own and no two of them similar, are not listed as pairs of all with all."""
+    r = random.Random(5)
+    template = [f"t{k}" for k in range(200)]
+    texts = []
+    for c in range(60):
+        words = list(template)
+        for k in range(r.randrange(12), 200, 25):
+            words[k] = f"c{c}x{k}"
+        texts.append(" ".join(words))
+    sets = [similar.shingles(t) for t in texts]
+    apart = sum(not similar.alike(sets[a], sets[b]) for a in range(60) for b in range(a))
+    made, put = [], shared.Scratch.put
+
+    def counting(self, df, name, *args):
+        out = put(self, df, name, *args)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(shared.Scratch, "put", counting)
+    similar.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    alike = 60 * 59 // 2 - apart
+    assert apart > 1400 and made[-1] <= alike + apart // 5, (made, alike, apart)
+
+
+def test_similar_sets_share_a_rare_key():
+    """Sets at a similarity of 0.8 meet on opposite sides of a key, whatever the order of hashes."""
+    rng = np.random.default_rng(4)
+    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    for n in [*range(1, 60), 100, 333, 1000, 5000]:
+        for _ in range(10 if n < 400 else 3):
+            x = draw(n)
+            both = x[rng.integers(0, n - (4 * n + 4) // 5 + 1) :]
+            y = np.concatenate([both, draw(max(0, len(both) * 5 // 4 - n))])
+            assert similar.alike(np.unique(x), np.unique(y))
+            order = rng.integers(0, 2**64, dtype=np.uint64)
+            keys = [[(k, side) for ks, side in similar.rare_keys(s[np.argsort(s ^ order)], len(s)) for k in ks.tolist()] for s in (x, y)]
+            other = {0: 0, 1: 2, 2: 1}
+            assert {(k, other[side]) for k, side in keys[0]} & set(keys[1])
+    assert not list(similar.rare_keys(np.zeros(0, np.uint64), 0))
+
+
 def test_similar_by_parts_alone(spark, monkeypatch):
     """With all pairs of the last pass met by parts the components are the same."""
     rng = np.random.default_rng(2)

@@ -9,8 +9,8 @@ size lists more, the most frequent ones as counted over all texts: of what two s
 A pair's candidates are sieved by bitmaps of their sets' parities: where these differ in more bits than the sets may in
 shingles, the pair cannot be similar, so no pair is lost and few texts travel. Every link is verified by the similarity of the whole sets. Links that connect large groups are verified first;
 then only pairs of different components are. Buckets of few members list these pairs. Members of larger ones, which
-mostly have no more than a passage in common, meet by parts of their sets instead (:func:`part_keys`), which few pairs of
-them share; this too leaves no similar pair out.
+mostly have no more than a passage or a template in common, meet by the rarest of all their shingles instead (:func:`rare_keys`), by
+exact counts over these members and for each class of sizes apart; this too leaves no similar pair out.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ ABOVE, BELOW = 4, 5
 BITS = 512
 #: One in so many shingles of a text is listed beyond the prefix, so that as many of the most frequent need not be met by.
 SPARE = 10
-#: Members up to which a bucket lists its pairs, rounds in which keys of parts are compared (each takes its share of the disk).
+#: Members up to which a bucket lists its pairs, rounds in which keys of rare shingles are compared (each takes its share of the disk).
 FEW, ROUNDS = 16, 4
 
 
@@ -51,6 +51,18 @@ def _sizes() -> np.ndarray:
 SIZES = _sizes()
 
 
+def _classes() -> np.ndarray:
+    """The least size of each class of nearly equal sizes."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] + max(1, out[-1] // 32))
+    return np.array(out)
+
+
+#: Sizes at which classes of nearly equal sizes begin.
+CLASSES = _classes()
+
+
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The 64-bit hashes of a text's distinct shingles, ascending; words as :func:`simhash.fingerprint` has them, a shorter text is one."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(simhash._LOWER).split()
@@ -78,7 +90,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def part_keys(s: np.ndarray) -> np.ndarray:
     """Keys of a set of hashes, about half as many; two similar sets have at least one in common, sets that differ
-    in most of their hashes the less often the larger they are.
+    in most of their hashes the less often the larger they are. :func:`near_duplicates` has :func:`rare_keys` in its place.
 
     For its class of sizes and the next one a set is dealt by the hashes' values to more parts than similar sets of these classes
     differ in hashes, so one part is the same in both. Each part with hashes gives a key of all of them. A set that leaves as many
@@ -101,6 +113,22 @@ def part_keys(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def rare_keys(s: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Keys of a set of ``n`` hashes for each class of sizes that similar sets may have, and the set's side: 0 if that class is its own, else 1 if its own is the lesser one, 2 if the greater one.
+
+    ``s`` are those of its hashes that count, the most frequent first, in one order for all sets. Two similar sets share at least
+    four ninths of the sum of their sizes; the last one that they share has so many before it in both that neither does without it if
+    each leaves out one less than that of its most frequent, as reckoned with the class's least size.
+    """
+    least = (ABOVE * n + BELOW - 1) // BELOW
+    own, lo, hi = (int(np.searchsorted(CLASSES, x, side="right")) - 1 for x in (n, least, n * BELOW // ABOVE))
+    for label in range(lo, hi + 1):
+        both = -(-ABOVE * (n + max(least, int(CLASSES[label]))) // (ABOVE + BELOW))
+        if len(s) >= both:
+            name = _mix(np.array([min(own, label) << 20 | max(own, label)], np.uint64))
+            yield _mix(s[both - 1 :] ^ name), (own < label) + 2 * (own > label)
+
+
 def _sets(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs`` with a row number, the set's hash (node), its size n, fingerprint and first shingles, staged."""
     at = docs.columns.index("text")
@@ -163,31 +191,44 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scr
     return links
 
 
-def _by_parts(wide: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(key, node, n, root)`` of the nodes of ``wide(node, root)`` by those keys of parts that different roots have."""
+def _by_rarest(wide: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(key, node, n, root, side)`` of the nodes of ``wide(node, root)`` by those keys of their rarest shingles that different roots have."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for node, root, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = shingles(text)
-                keys = part_keys(s).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.full(len(keys), x, np.int64)) for x in (node, len(s), root))], names=["key", "node", "n", "root"])
+                s = shingles(text).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(s), *(pa.array(np.full(len(s), x, np.int64)) for x in (node, len(s), root))], names=["key", "node", "n", "root"])
 
-    keys = scratch.put(texts.join(wide, "node").select("node", "root", "text"), "keys", run, "key bigint, node bigint, n bigint, root bigint")
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, n, root, ms in zip(*(b.column(k) for k in range(4)), strict=True):
+                for keys, side in rare_keys(ms.values.to_numpy().view(np.uint64), n.as_py()):
+                    same = (pa.array(np.full(len(keys), x.as_py(), np.int64)) for x in (node, n, root))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *same, pa.array(np.full(len(keys), side, np.int8))], names=["key", "node", "n", "root", "side"])
+
+    def shared(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+
+    # what one root alone has is in no two sets that are still to be compared
+    own = scratch.put(texts.join(wide, "node").select("node", "root", "text"), "listed", listed, "key bigint, node bigint, n bigint, root bigint")
+    counted = own.join(scratch.put(shared(own), "shared"), "key")
+    ordered = counted.groupBy("node", "n", "root").agg(F.sort_array(F.collect_list(F.struct("size", "key")), False).alias("ms"))
+    keys = scratch.put(ordered.select("node", "n", "root", "ms.key"), "keys", keyed, "key bigint, node bigint, n bigint, root bigint, side tinyint")
+    scratch.drop_named("listed", "shared")
     met = []
     for k in range(ROUNDS):
         some = keys.where(F.pmod("key", F.lit(ROUNDS)) == k)
-        shared = some.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        met.append(scratch.put(some.join(scratch.put(shared, "shared"), "key", "left_semi"), "met"))
+        met.append(scratch.put(some.join(scratch.put(shared(some).select("key"), "shared"), "key", "left_semi"), "met"))
         forget(scratch.spark)
     scratch.drop_named("keys", "shared")
     return reduce(DataFrame.unionByName, met)
 
 
 def _apart(members: DataFrame, group: str) -> DataFrame:
-    """``(a, b)``: members of a group with different roots whose sizes may be those of similar sets."""
+    """``(a, b)``: members of a group with different roots whose sizes may be those of similar sets, of different sides if the group has such."""
     x, y = members.alias("x"), members.alias("y")
-    pairs = x.join(y, group).where(f"x.root <> y.root and x.node < y.node and x.n * {BELOW} >= y.n * {ABOVE} and y.n * {BELOW} >= x.n * {ABOVE}")
+    pairs = x.join(y, group).where(f"x.root <> y.root and x.node < y.node and x.n * {BELOW} >= y.n * {ABOVE} and y.n * {BELOW} >= x.n * {ABOVE} and (x.side = 0 or x.side <> y.side)")
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
@@ -225,7 +266,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     members = scratch.put(members.join(open_, "bucket"), "members")
     scratch.drop_named("buckets", "distinct")
     wide = scratch.put(members.where(F.col("size") > FEW).select("node", "root").distinct(), "wide")
-    second = _apart(members.where(F.col("size") <= FEW), "bucket").unionByName(_apart(_by_parts(wide, texts, scratch), "key"))
+    second = _apart(members.where(F.col("size") <= FEW).withColumn("side", F.lit(0)), "bucket").unionByName(_apart(_by_rarest(wide, texts, scratch), "key"))
     second = scratch.put(second.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     scratch.drop_named("members", "wide", "met")
     links = links.unionByName(_verified(second, nodes, texts, scratch))
